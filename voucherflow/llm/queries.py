@@ -1,9 +1,14 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
+from . import warc
 from .classlm import op1_class_lm
+from .warc import op2_warc_roundtrip
 
 QUERIES = {
     "op1_class_lm": op1_class_lm,
+    "op2_warc_roundtrip": op2_warc_roundtrip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_roundtrip": warc.ORACLE,
+}
