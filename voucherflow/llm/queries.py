@@ -2,11 +2,13 @@
 
 from . import warc
 from .classlm import op1_class_lm
+from .linededup import op3_line_dedup
 from .warc import op2_warc_roundtrip
 
 QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op3_line_dedup": op3_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
