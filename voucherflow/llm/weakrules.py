@@ -2,8 +2,8 @@
 
 Each rule votes good or bad or abstains. The votes of one document are a pattern, of which there are at most 3 ** rules, so what
 expectation-maximisation needs of the corpus is the count of each pattern: it estimates the share of good documents and each rule's vote
-probabilities given the class, and yields a posterior per pattern that replaces "all rules must pass". EM starts from the majority of votes, and
-a rule that would vote against its meaning is held at no information.
+probabilities given the class, and yields a posterior per pattern that replaces "all rules must pass". EM starts from the belief
+that bad votes are rare on good documents, and a rule that would vote against its meaning is held at no information.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null doc_id is a document like any other; repeated rows count as
 often as they occur; a pattern in which every rule abstains gets the estimated share of good documents; an empty table gives no rows.
@@ -34,7 +34,7 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 #: name, value of the statistics, good up to (or from), bad from (or up to); a None value abstains
 RULES = [
-    ("length", lambda s: s["n_words"], 80, 30),
+    ("length", lambda s: s["n_words"], 50, 20),
     ("word length", lambda s: abs(s["word_chars"] / s["n_words"] - 5.5) if s["n_words"] else None, 3.0, 5.0),
     ("symbols", lambda s: s["n_symbols"] / max(1, s["word_chars"]), 0.01, 0.05),
     ("symbol runs", lambda s: s["n_symbol_runs"] / max(1, s["n_words"]), 0.01, 0.05),
@@ -65,14 +65,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["doc_id"], *columns, pa.array([votes(r) for r in rows], pa.int64())], names=["doc_id", *BASE, "votes"])
 
 
+#: Where EM starts: bad votes are rare on good documents, and bad documents mostly break few of the rules. Rows: class bad, good; columns: votes bad, abstain, good.
+START = np.array([[0.3, 0.2, 0.5], [0.02, 0.1, 0.88]])
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, floor: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns: share of good, table[rule, class, vote], and the posterior of each pattern."""
     k = len(RULES)
     digits = (patterns[:, None] // 3 ** np.arange(k - 1, -1, -1)) % 3
-    lean = (digits - 1).sum(1)
-    post = 1 / (1 + np.exp(-lean.astype(float)))
-    table, share = np.full((k, 2, 3), 1 / 3), 0.5
-    for _ in range(rounds):
+    table, share = np.tile(START, (k, 1, 1)), 0.8
+    post = np.full(len(patterns), -1.0)
+    for i in range(rounds):
+        log = np.log(table)
+        gap = np.log(share / (1 - share)) + sum(log[r, 1, digits[:, r]] - log[r, 0, digits[:, r]] for r in range(k))
+        old, post = post, 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
+        if len(post) == 0 or i == rounds - 1 or np.abs(old - post).max() < 1e-9:
+            break
         weight = np.stack([counts * (1 - post), counts * post])
         share = (weight[1].sum() + floor) / (weight.sum() + 2 * floor)
         for r in range(k):
@@ -82,18 +90,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, floor:
             against = (table[r, 1, GOOD] < table[r, 0, GOOD]) and (table[r, 1, BAD] > table[r, 0, BAD])
             if against:
                 table[r, :] = table[r].mean(0)
-        log = np.log(table)
-        gap = np.log(share / (1 - share)) + sum(log[r, 1, digits[:, r]] - log[r, 0, digits[:, r]] for r in range(k))
-        new = 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
-        if len(new) == 0 or np.abs(new - post).max() < 1e-9:
-            post = new
-            break
-        post = new
     return share, table, post
 
 
-def weak_quality(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, posterior and the votes, a digit a rule: 0 bad, 1 abstains, 2 good."""
+def weak_quality(docs: DataFrame, *, threshold: float = 0.02) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, posterior and the votes, a digit a rule: 0 bad, 1 abstains, 2 good.
+
+    ``threshold`` is low, so a document goes only if its votes make it almost surely bad.
+    """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     counted = written(docs.mapInArrow(_count, f"doc_id long, {', '.join(f'{c} long' for c in BASE)}, votes long"), "weak-counts")
