@@ -4,6 +4,7 @@ from . import warc
 from .classlm import op1_class_lm
 from .linededup import op3_line_dedup
 from .qda import op8_quality_qda
+from .tagpaths import op4_html_text
 from .warc import op2_warc_roundtrip
 from .weakrules import op9_weak_rules
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_text": op4_html_text,
     "op8_quality_qda": op8_quality_qda,
     "op9_weak_rules": op9_weak_rules,
 }
