@@ -5,6 +5,7 @@ from .classlm import op1_class_lm
 from .linededup import op3_line_dedup
 from .qda import op8_quality_qda
 from .tagpaths import op4_html_text
+from .templates import op5_template_decontam
 from .warc import op2_warc_roundtrip
 from .weakrules import op9_weak_rules
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
+    "op5_template_decontam": op5_template_decontam,
     "op8_quality_qda": op8_quality_qda,
     "op9_weak_rules": op9_weak_rules,
 }
