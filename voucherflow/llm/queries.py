@@ -5,6 +5,7 @@ from .classlm import op1_class_lm
 from .linededup import op3_line_dedup
 from .mixing import op7_source_mix
 from .qda import op8_quality_qda
+from .secrets import op10_secret_links
 from .tagpaths import op4_html_text
 from .templates import op5_template_decontam
 from .warc import op2_warc_roundtrip
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_quality_qda": op8_quality_qda,
     "op9_weak_rules": op9_weak_rules,
+    "op10_secret_links": op10_secret_links,
 }
 
 ORACLE_SQL: dict[str, str] = {
