@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import DOCUMENT_COLUMNS, documents, written
 
 
 def winnow(text: bytes, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
@@ -140,3 +140,10 @@ def dedup_lines(docs: DataFrame, *columns: str, noise: int = 25, guarantee: int
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document without its repeated runs; one that loses all its words goes."""
+    out = dedup_lines(docs, "lang", "source")
+    left = (F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(left).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars")).select(*DOCUMENT_COLUMNS)

@@ -2,6 +2,7 @@
 
 from . import warc
 from .classlm import op1_class_lm
+from .jaccard import op6_ngram_jaccard
 from .linededup import op3_line_dedup
 from .mixing import op7_source_mix
 from .qda import op8_quality_qda
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
     "op5_template_decontam": op5_template_decontam,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_source_mix": op7_source_mix,
     "op8_quality_qda": op8_quality_qda,
     "op9_weak_rules": op9_weak_rules,
