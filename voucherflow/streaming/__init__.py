@@ -1,0 +1 @@
+"""Nothing here: every query of this engine is a batch query; look-backs are windows over days, not over a stream."""
