@@ -28,8 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_BYTES = "4m"
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Exactly the named columns, even beside columns that differ from them only in case."""
+    """Exactly the named columns, even beside columns that differ from them only in case.
+
+    Sets the session's Arrow batches to ``ARROW_BYTES``: counted in rows, a batch of long texts would take
+    hundreds of MB in a task's Python worker, and as much again in its JVM.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
