@@ -75,9 +75,9 @@ def mix(docs: DataFrame, *columns: str, weights: tuple[int, ...] = WEIGHTS, shar
     """doc_id, the further ``columns``, size, source_size, target, taken."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", *dict.fromkeys(["source", "text", *columns])).withColumn("size", n_words(F.col("text"))).withColumn("key", text_hash(F.col("text")))
-    placed = written(docs.select("doc_id", *columns, *([] if "source" in columns else ["source"]), "size", "key"), "mix-sizes")
+    sized = written(docs.select("doc_id", "source", "size", "key"), "mix-sizes")
 
-    sources = placed.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    sources = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares strings by code point
     words = np.array([r["words"] for r in sources], np.int64)
     weight = np.array([weights[i % len(weights)] for i in range(len(sources))], float)
@@ -87,9 +87,12 @@ def mix(docs: DataFrame, *columns: str, weights: tuple[int, ...] = WEIGHTS, shar
     plan = spark.createDataFrame(rows, "s int, source string, source_size long, target double, shards long")
     shard = F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.col("shards"))
     # the plan has a row per source; Spark broadcasts it if its size allows
-    placed = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.doc_id", *(f"d.{c}" for c in columns), "d.size", "d.key", "p.s", "p.source_size", "p.target", shard.alias("shard"))
 
-    parts = placed.groupBy("s", "shard").agg(F.sum("size").alias("words")).orderBy("s", "shard").toPandas()
+    def placed_in(df: DataFrame, *keep: str) -> DataFrame:
+        joined = df.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+        return joined.select("d.doc_id", *(f"d.{c}" for c in keep), "d.size", "d.key", "p.s", "p.source_size", "p.target", shard.alias("shard"))
+
+    parts = placed_in(sized).groupBy("s", "shard").agg(F.sum("size").alias("words")).orderBy("s", "shard").toPandas()
     blocks = sainte_lague(goal, round(goal.sum() / block_words), np.ceil(most * words / block_words))
     quota = np.zeros(len(parts), np.int64)
     owner, held = parts["s"].to_numpy(), parts["words"].to_numpy()
@@ -101,6 +104,8 @@ def mix(docs: DataFrame, *columns: str, weights: tuple[int, ...] = WEIGHTS, shar
     quotas = spark.createDataFrame(list(zip(owner.tolist(), parts["shard"].tolist(), held.tolist(), quota.tolist(), strict=True)), "s int, shard long, words long, quota long")
 
     order = W.partitionBy("s", "shard").orderBy(F.xxhash64("doc_id", "key", F.lit(seed + 1)), "doc_id", "key").rowsBetween(W.unboundedPreceding, 0)
+    # carried columns come from the documents again: no copy of the texts is written on the way
+    placed = placed_in(docs, *columns) if columns else placed_in(sized)
     placed = placed.withColumn("last", F.sum("size").over(order)).join(quotas, ["s", "shard"])
     # round the circle: whole rounds, then the arc [start, start + rest), which may pass the end once
     whole, rest = F.floor(F.col("quota") / F.greatest("words", F.lit(1))), F.col("quota") % F.greatest("words", F.lit(1))

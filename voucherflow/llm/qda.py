@@ -119,18 +119,22 @@ def fit(points: DataFrame, labels: DataFrame, train: Column, pool: float, ridge:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *columns: str, pool: float = 0.3, ridge: float = 0.05, threshold: float = 0.3) -> DataFrame:
-    """doc_id, the further ``columns``, held_out, score, predicted; learns where crc32(doc_id) mod 5 is not 0."""
+    """doc_id, the further ``columns``, held_out, score, predicted; learns where crc32(doc_id) mod 5 is not 0.
+
+    The statistics are written once, without the texts. Only where columns must be carried are they computed
+    again beside them: that costs a second reading, but neither a copy of the texts on disk nor a shuffle of them.
+    """
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    docs = pick(docs, "doc_id", *dict.fromkeys(["text", *columns]))
-    kept = docs.select("doc_id", *columns).dtypes
-    points = docs.select("*", F.coalesce("text", F.lit("")).alias("_t")).select("doc_id", *columns, F.col("_t").alias("text")) if "text" not in columns else docs.withColumn("text", F.coalesce("text", F.lit("")))
-    schema = ", ".join(f"`{c}` {t}" for c, t in points.dtypes)
-    points = points.mapInArrow(_features, f"{schema}, x binary")
-    points = written(points.select(*[c for c, _ in kept], "x"), "qda-features")
-    model = fit(points.select("doc_id", "x"), labels, ~held, pool, ridge)
-    points = points.withColumn("held_out", held)
-    schema = ", ".join(f"`{c}` {t}" for c, t in points.drop("x").dtypes)
-    return points.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
+    docs = pick(docs, "doc_id", *dict.fromkeys(["text", *columns])).withColumn("text", F.coalesce("text", F.lit("")))
+
+    def measured(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(_features, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", x binary")
+
+    points = written(measured(docs.select("doc_id", "text")).select("doc_id", "x"), "qda-features")
+    model = fit(points, labels, ~held, pool, ridge)
+    out = (measured(docs).select("doc_id", *columns, "x") if columns else points).withColumn("held_out", held)
+    schema = ", ".join(f"`{c}` {t}" for c, t in out.drop("x").dtypes)
+    return out.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
 
 
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
