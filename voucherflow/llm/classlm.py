@@ -131,9 +131,9 @@ def _contexts(head_class: dict[bytes, int], classes: int):
     class_of = np.fromiter(head_class.values(), np.int64, k)
 
     def emit(names: list[bytes], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not keys:
+        key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else ((), ())
+        if not len(key):
             return
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
         packed = np.empty(len(key), np.dtype([("slot", "<u2"), ("n", "<u4")]))
         word, packed["slot"] = np.divmod(key, 2 * classes)
         packed["n"] = n
