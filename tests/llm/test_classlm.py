@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -35,18 +36,14 @@ def test_base_columns_equal_plain_counting_and_the_model_is_better(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over every known word, the end and one unknown word, after a given beginning."""
+    """Over all texts of up to five words of the vocabulary and one unknown word."""
     train = ["a b a c", "b a b", "c c a", "a b"]
-    known = ["a", "b", "c"]
-    probes = ["", *known, "unseen"]
-    rows = [(i, t, False) for i, t in enumerate(train)] + [(100 + i, t, True) for i, t in enumerate(probes)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
-    got = {r["doc_id"]: r["score"] for r in class_lm_scores(df.drop("h"), F.col("doc_id") >= 100, classes=3).collect()}
-    # the first word's probability alone: that of "w b" over that of "b" after w is not needed, as the end's is known from the same context
-    two = [(i, t) for i, t in enumerate(train)] + [(200 + i, f"{w} {x}".strip()) for i, (w, x) in enumerate((w, x) for w in ["a"] for x in [*known, "unseen", ""])]
-    got2 = {r["doc_id"]: r["score"] for r in class_lm_scores(spark.createDataFrame(two, "doc_id long, text string"), F.col("doc_id") >= 100, classes=3).collect()}
-    assert all(v < 0 for v in got.values()) and 10 ** got[100] < 1
-    assert sum(10**v for k, v in got2.items() if k >= 200) <= 10 ** max(got2[k] for k in got2 if k >= 200) * 5
+    texts = [" ".join(x) for n in range(6) for x in product(["a", "b", "c", "unseen"], repeat=n)]
+    df = spark.createDataFrame(list(enumerate(train)) + [(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: 10 ** r["score"] for r in class_lm_scores(df, F.col("doc_id") >= 100, classes=3).collect()}
+    by_length = [sum(got[100 + i] for i, t in enumerate(texts) if len(t.split()) == n) for n in range(6)]
+    # the rest of the mass is that of longer texts, which falls by a steady factor
+    assert 0.6 < sum(by_length) < 1 and sum(by_length) + by_length[5] * (q := by_length[5] / by_length[4]) / (1 - q) == pytest.approx(1, abs=0.01)
 
 
 def test_exchange_separates_words_by_their_neighbours():

@@ -32,7 +32,7 @@ def test_short_repeats_stay(docs):
 
 
 def test_repeats_inside_one_text(docs):
-    line = LINE("k", 30)
+    line = LINE("k", 55)
     assert run(docs("\n".join([line] * 4 + ["end"])))[1]["text"] == f"{line}\nend"
 
 

@@ -24,7 +24,8 @@ def test_seats_equal_handing_them_out_one_by_one(parties, seats):
 
 def test_targets():
     t = targets(np.array([10, 1000, 1000]), np.array([5.0, 2.0, 1.0]), 1.5, 2.0)
-    assert t.tolist() == [20, 2000, 995] and t.sum() == 1.5 * 2010
+    assert t == pytest.approx([20, 2995 * 2 / 3, 2995 / 3])
+    assert targets(np.array([10, 100, 1000]), np.array([5.0, 2.0, 1.0]), 1.5, 2.0) == pytest.approx([20, 200, 1445])
     assert targets(np.array([0, 0]), np.array([5.0, 2.0]), 1.5, 2.0).tolist() == [0, 0]
 
 

@@ -30,7 +30,7 @@ def test_part_of_an_item_counts_from_a_run_on(spark):
 def test_chunks_give_what_one_pass_gives(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40)))) for i in range(30)] + [(99, None), (None, "one two three four five six seven eight nine ten"), (31, "equal equals to each other item text"), (30, "equal equals to each other item text")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40)))) for i in range(30)] + [(99, None), (None, "an item that has no number of its own at all"), (31, "equal equals to each other item text"), (30, "equal equals to each other item text")]
     texts = [f"x y {t} z" for _, t in items if t] + ["", None]
     one = found(spark, texts, items)
     many = found(spark, texts, items, chunk_bytes=300)
