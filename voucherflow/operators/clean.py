@@ -6,10 +6,12 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import MISSING
+from ..sources.scratch import written
 
 INTEGERS = [("tinyint", 1 << 7), ("smallint", 1 << 15), ("int", 1 << 31)]
 FLOAT_MAX = 3.4028234663852886e38
@@ -44,13 +46,19 @@ def narrow(df: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Adds 0..n-1 in the given order, without a single-partition window: range-sorted, then offsets by partition.
+    """Adds 0..n-1 in the given order, without a single-partition window and without Python rows.
 
-    The order must be total, or rows that tie swap indexes between runs.
+    The rows are range-sorted and written with their place inside their partition; a row per partition then gives
+    each partition's offset. Writing fixes the partitions: sorted anew, the sampled bounds could differ between the two uses. The order must be total, or rows
+    that tie swap indexes between runs.
     """
-    sorted_ = df.orderBy(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(sorted_.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    sorted_ = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())  # partition * 2**33 + place
+    sorted_ = written(sorted_, "dense-index")
+    part = F.shiftright("_at", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    out = sorted_.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row a partition
+    return out.select(*df.columns, (F.col("_offset") + (F.col("_at") - F.shiftleft("_part", 33))).alias(name))
 
 
 def dictionary(column: str, *frames: DataFrame) -> DataFrame:

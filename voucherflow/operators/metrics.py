@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .clean import dense_index
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds weight: rows / rows of the class. The classes' table is joined back, so no window holds a whole class."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_all"))
-    weights = sizes.join(total).select(F.col(label).alias("_class"), (F.col("_all") / F.col("_n")).alias("weight"))
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # a row a class
+    weights = sizes.select(F.col(label).alias("_class"), (F.sum("_n").over(W.partitionBy()) / F.col("_n")).alias("weight"))
     return df.join(weights, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
@@ -46,11 +47,12 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> Da
 def top_share(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", profit: str = "Actual_pay_cent", share: float = 0.05, tie: str | None = None) -> DataFrame:
     """One row: rate, profit and n of the best-scored ``share`` of the rows, rounded up; equal scores go by ``tie``, the smaller first.
 
-    The cut is found by a sort that keeps the top n only.
+    Rows are ranked by a distributed index, so a share of any size is cut without gathering it.
     """
-    n = -(-df.count() * round(share * 10_000) // 10_000)
     order = [F.desc_nulls_last(y_pred), *([F.asc(tie)] if tie else [F.desc(y_true), F.desc(profit)])]
-    return df.orderBy(*order).limit(n).agg(F.avg(y_true).alias("rate"), F.avg(profit).alias("profit"), F.count("*").alias("n"))
+    ranked = dense_index(df.select(*dict.fromkeys([y_true, y_pred, profit, *([tie] if tie else [])])), "_rank", *order)
+    n = -(-ranked.count() * round(share * 10_000) // 10_000)
+    return ranked.where(F.col("_rank") < n).agg(F.avg(y_true).alias("rate"), F.avg(profit).alias("profit"), F.count("*").alias("n"))
 
 
 def profit_at(df: DataFrame, y_pred: str = "y_pred", profit: str = "Actual_pay_cent", thresholds: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
