@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """From edges (a, b) of any ordered type: (node, root) for every node that has an edge, root the least node of its component.
 
-    A hub's neighbours are never gathered: its least neighbour is an aggregate, joined back to the edges, and AQE splits
-    the partition of a hub. Every round is written, so that none is computed again.
+    A hub's neighbours are never gathered: its least neighbour is an aggregate, which is written and joined back to the edges, so that the join
+    has a shuffle on either side and AQE can split the hub's partition. Every round is written, so that none is computed again.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = None
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     for _ in range(rounds):
+        if _settled(edges):
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        large = written(large.where("a <> b").distinct(), "components-large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(small.where("a <> b").distinct(), "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
