@@ -14,12 +14,11 @@ Conventions that every operator follows:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path, shared_dir, written  # noqa: F401  used by the operators
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -42,31 +41,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of our own.
-
-    A local master has one machine, so its temp folder is shared; elsewhere the warehouse is.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = tempfile.mkdtemp(prefix="voucherflow-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and fixes what was computed."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
