@@ -102,7 +102,7 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def intersections(sets: list[np.ndarray], most: int = 20_000_000) -> np.ndarray:
+def intersections(sets: list[np.ndarray], most: int = 5_000_000) -> np.ndarray:
     """Sizes of all pairwise intersections, in pieces of at most ``most`` cells."""
     n = len(sets)
     gram, count = np.unique(np.concatenate(sets), return_counts=True)

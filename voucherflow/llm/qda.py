@@ -99,9 +99,14 @@ class Model:
 
 
 def _score(model: Model, threshold: float):
+    """Scores of written statistics, or of texts: one Python worker a task either way."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch["x"].to_pylist())).reshape(batch.num_rows, D)
+            if "x" in batch.schema.names:
+                x = np.frombuffer(b"".join(batch["x"].to_pylist())).reshape(batch.num_rows, D)
+            else:
+                x = np.array([features(t) for t in batch["text"].cast(pa.binary()).to_pylist()]).reshape(batch.num_rows, D)
             score = model.score(x)
             keep = [c for c in batch.schema.names if c != "x"]
             yield pa.record_batch([*(batch[c] for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
@@ -127,14 +132,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *columns: str, pool: floa
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     docs = pick(docs, "doc_id", *dict.fromkeys(["text", *columns])).withColumn("text", F.coalesce("text", F.lit("")))
 
-    def measured(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(_features, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", x binary")
-
-    points = written(measured(docs.select("doc_id", "text")).select("doc_id", "x"), "qda-features")
+    points = written(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, text string, x binary").select("doc_id", "x"), "qda-features")
     model = fit(points, labels, ~held, pool, ridge)
-    out = (measured(docs).select("doc_id", *columns, "x") if columns else points).withColumn("held_out", held)
-    schema = ", ".join(f"`{c}` {t}" for c, t in out.drop("x").dtypes)
-    return out.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
+    rows = (docs if columns else points).withColumn("held_out", held)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("x").dtypes)
+    out = rows.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
+    return out.select("doc_id", *columns, "held_out", "score", "predicted")
 
 
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

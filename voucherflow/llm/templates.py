@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, pick
+from .common import DOCUMENT_COLUMNS, pick, written
 
 # Words for numbers and units of measurement.
 NUMBERS = frozenset(
@@ -221,6 +221,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *columns: str, wind
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(chunks)) == i)
         some = [(r["item_id"], r["text"]) for r in part.orderBy(F.asc_nulls_last("item_id"), "text").collect()]
         docs = docs.mapInArrow(_match(some, window, literals, run, cover, agree), schema)
+        if i + 1 < chunks:  # else a task would hold a Python worker for every chunk at once
+            docs = written(docs, "templates-chunk")
     return docs
 
 
