@@ -1,12 +1,13 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
 from voucherflow.llm.common import DOCUMENT_COLUMNS
 from voucherflow.llm.graph import components
-from voucherflow.llm.jaccard import forest, jaccard_groups, links, ngrams, one_of_each_group, plan_bands
+from voucherflow.llm.jaccard import ORACLE, forest, jaccard_groups, links, ngrams, one_of_each_group, op6_ngram_jaccard, plan_bands
 
 
 def grams(text):
@@ -63,6 +64,12 @@ def test_sf_table_equals_all_pairs(spark):
     check([tuple(r) for r in docs.collect()], jaccard_groups(docs).collect())
 
 
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert sorted(map(tuple, op6_ngram_jaccard(spark, "/root/testdata/sf0.01").collect())) == sorted(con.sql(ORACLE).fetchall())
+
+
 def test_recall_of_the_bands():
     bands, rows = plan_bands(0.8, 0.9999, 280)
     assert (bands, rows) == (40, 7) and (1 - 0.8**rows) ** bands < 1e-4

@@ -14,9 +14,9 @@ def found(spark, texts, items, **kw):
 
 
 def test_copies_and_changed_slots(spark):
-    texts = [f"before it {QUESTION} and after", OTHER, TORN, OTHER.upper(), "Nothing of the kind stands here at all, only some other words in a row.", QUESTION.replace(" ", "\n")]
+    texts = [f"before it {QUESTION} and after", OTHER, TORN, "Nothing of the kind stands here at all, only some other words in a row."]
     got = found(spark, texts, [(1, QUESTION)], agree=0.9)
-    assert [len(got[i]) for i in range(6)] == [1, 1, 0, 0, 0, 1] or [len(got[i]) for i in (0, 1, 2, 4)] == [1, 1, 0, 0]
+    assert [len(got[i]) for i in range(4)] == [1, 1, 0, 0]
     assert got[0][0]["item_id"] == 1 and got[0][0]["changed_slots"] == 0 and got[1][0]["changed_slots"] >= 5
 
 
@@ -56,8 +56,6 @@ def test_whole_table_equals_brute_force(spark):
             share = len(g & d) / len(g)
             if share > 0.9:
                 assert (doc_id, b["item_id"]) in got
-            if share < 0.3:
-                assert (doc_id, b["item_id"]) not in got or share > 0 or True
     clean = [doc_id for doc_id, d in docs if not any(g & d for g in [grams(b["text"].split()) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])]
     assert len({i for i, _ in got} & set(clean)) <= 1  # symbols stuck to a copied passage hide it from the plain windows
 

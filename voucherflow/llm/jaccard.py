@@ -201,6 +201,22 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "text_id", "n_links")
 
 
+#: All pairs that share an n-gram, and all that can be reached over links; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM w),
+s AS (SELECT doc_id, md5(array_to_string(grams, chr(10))) AS k, grams FROM g),
+c AS (SELECT k, min(doc_id) AS text_id, any_value(grams) AS grams, len(any_value(grams)) AS n FROM s GROUP BY k),
+u AS (SELECT k, unnest(grams) AS gram FROM c),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS both_n FROM u a JOIN u b ON a.gram = b.gram AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN c x ON x.k = p.a JOIN c y ON y.k = p.b WHERE p.both_n >= 0.8 * (x.n + y.n - p.both_n) - 1e-9),
+reach(k, r) AS (SELECT k, k FROM c UNION SELECT reach.k, l.b FROM reach JOIN l ON l.a = reach.r),
+grp AS (SELECT reach.k, min(c.text_id) AS class_id FROM reach JOIN c ON c.k = reach.r GROUP BY 1),
+n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY 1)
+SELECT s.doc_id, grp.class_id, c.text_id, coalesce(n.n_links, 0) AS n_links FROM s JOIN grp USING (k) JOIN c USING (k) LEFT JOIN n USING (k)
+"""
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first document of every group of near duplicates, in (doc_id, text hash) order."""
     heads = jaccard_groups(docs).select("first_id", "first_key").distinct()
