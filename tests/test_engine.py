@@ -98,6 +98,14 @@ def test_splits(spark):
         splits.split("other", df)
 
 
+def test_segment_catalog(spark):
+    assert len(splits.segment_triples(splits.OTHERS)) == 13
+    df = spark.createDataFrame([(0, 0, 1), (0, 2, 1), (0, 1, 1), (0, 1, 0), (0, 0, 0), (2, 0, 0), (0, 0, -1)], "Price_limit_bin int, Coupon_limit_bin int, Expiry_span_bin int")
+    assert [r[0] for r in df.select(splits.segment_id()).collect()] == ["seg_001", "seg_011_and_021", "seg_011_and_021", "seg_010", "seg_000", "oth_segs", None]
+    for name, n in (("seg_001", 1), ("seg_011_and_021", 2), (splits.OTHERS, 1)):
+        assert df.where(S.dnf(splits.named_segment(name))).count() == n
+
+
 def test_fold_datasets(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2, i % 2, 0, i) for i in range(12)], "receipt_key int, fold_1_marker int, label_invalid int, label_same_user_st int, label_same_user_fh int, x int")
     (train, val), = splits.folds_of(df, "label_invalid")
@@ -130,10 +138,13 @@ def test_tree_scores(spark):
     assert raw == [0.75, -1.0, -0.625, -1.0]
 
 
-def test_trained_trees_rank_the_signal(spark):
+def test_trained_trees_rank_the_signal(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 10), float(i % 7), int(i % 10 > 5)) for i in range(200)], "a double, b double, y int")
     names, model = trees.train_gbt(df, "y", rounds=3)
     assert metrics.roc_auc(trees.predict_gbt(df, names, model), "y").collect()[0]["auc"] == 1.0
+    trees.save_gbt(names, model, str(tmp_path / "m"))
+    again = trees.predict_gbt(df, *trees.load_gbt(spark, str(tmp_path / "m")))
+    assert again.select("y_pred").distinct().count() == trees.predict_gbt(df, names, model).select("y_pred").distinct().count()
 
 
 def test_segment_report_counts_edges_twice(make):

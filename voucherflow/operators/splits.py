@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ TEST_START, CENSOR = date(2023, 6, 1), date(2023, 6, 30)
 FOLD_RANGES = [(date(2023, 3, 16), date(2023, 3, 31)), (date(2023, 4, 16), date(2023, 4, 30)), (date(2023, 5, 16), date(2023, 5, 31))]
 PURGE = 15
 
-SEGMENTS = {"seg_001": (2, 0, 0), "seg_002": (1, 0, 0), "seg_003": (2, 0, 1), "seg_004": (1, 0, 1)}
+# The segments that have a model of their own, as (price, coupon, expiry) bins; the other 13 share one.
+SEGMENTS = {"seg_001": [(0, 0, 1)], "seg_011_and_021": [(0, 1, 1), (0, 2, 1)], "seg_010": [(0, 1, 0)], "seg_000": [(0, 0, 0)]}
+OTHERS = "oth_segs"
 
 
 def censor(trainable: DataFrame, cutoff: date | None = CENSOR) -> DataFrame:
@@ -57,13 +60,22 @@ def segment_filter(price=2, coupon=0, expiry=0) -> list[list[tuple]]:
     return [[(c, "==", v) for c, v in zip(BINS, triple, strict=True)] for triple in zip(*given, strict=True)]
 
 
+def segment_triples(name: str) -> list[tuple[int, int, int]]:
+    """The bins of a named segment; for ``OTHERS``, all that no name has."""
+    named = [t for ts in SEGMENTS.values() for t in ts]
+    return [t for t in product(range(3), range(3), range(2)) if t not in named] if name == OTHERS else SEGMENTS[name]
+
+
+def named_segment(name: str) -> list[list[tuple]]:
+    """DNF for a named segment."""
+    return segment_filter(*map(list, zip(*segment_triples(name), strict=True)))
+
+
 def segment_id() -> Column:
-    """Name of the segment: the four chosen ones, and one for the rest."""
-    out = None
-    for name, triple in SEGMENTS.items():
-        here = (F.col(BINS[0]) == triple[0]) & (F.col(BINS[1]) == triple[1]) & (F.col(BINS[2]) == triple[2])
-        out = F.when(here, name) if out is None else out.when(here, name)
-    return out.otherwise("seg_rest")
+    """Name of the row's segment; null if the expiry bin is unknown (-1), which no segment has."""
+    names = {t: n for n in (*SEGMENTS, OTHERS) for t in segment_triples(n)}
+    table = F.create_map(*[x for t, n in names.items() for x in (F.lit("/".join(map(str, t))), F.lit(n))])
+    return F.element_at(table, F.concat_ws("/", *BINS))
 
 
 def dataset(df: DataFrame, label: str, filters: list | None = None, drop_bins: bool = False) -> DataFrame:

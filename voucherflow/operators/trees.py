@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
@@ -102,3 +102,15 @@ def predict_gbt(df: DataFrame, features: list[str], model: GBTClassificationMode
 
     rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
     return model.transform(rows).withColumn("y_pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def save_gbt(features: list[str], model: GBTClassificationModel, path: str) -> None:
+    """The model, and beside it its features in order."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.builder.getOrCreate()
+    spark.createDataFrame(list(enumerate(features)), "i int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_gbt(spark: SparkSession, path: str) -> tuple[list[str], GBTClassificationModel]:
+    rows = spark.read.parquet(f"{path}/features").orderBy("i").collect()
+    return [r["name"] for r in rows], GBTClassificationModel.load(f"{path}/model")

@@ -200,8 +200,8 @@ ORACLE_SQL = {
     "fold_datasets": q(*CPN, select="""SELECT 'train' AS part, count(*) AS n, CAST(coalesce(sum(label_same_user_st), 0) AS BIGINT) AS positives FROM cpn WHERE label_invalid = 0 AND End_date <= DATE '2024-01-31' AND Receive_date < DATE '2024-01-05'
 UNION ALL SELECT 'validation', count(*), CAST(coalesce(sum(label_same_user_st), 0) AS BIGINT) FROM cpn WHERE label_invalid = 0 AND End_date <= DATE '2024-01-31' AND Receive_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-14'"""),
     "dnf_filter": q(*CPN, select="SELECT receipt_key FROM cpn WHERE label_same_user_st <> 1 AND ((Price_limit_bin = 2 AND Coupon_limit_bin = 0 AND Expiry_span_bin = 0) OR (Price_limit_bin = 1 AND Coupon_limit_bin = 0 AND Expiry_span_bin = 1))"),
-    "segment_catalog": q(*CPN, select="""SELECT CASE WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (2, 0, 0) THEN 'seg_001' WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (1, 0, 0) THEN 'seg_002'
-WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (2, 0, 1) THEN 'seg_003' WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (1, 0, 1) THEN 'seg_004' ELSE 'seg_rest' END AS segment_id, count(*) AS n FROM cpn GROUP BY 1"""),
+    "segment_catalog": q(*CPN, select="""SELECT CASE WHEN Expiry_span_bin = -1 THEN NULL WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 0, 1) THEN 'seg_001' WHEN Price_limit_bin = 0 AND Coupon_limit_bin IN (1, 2) AND Expiry_span_bin = 1 THEN 'seg_011_and_021'
+WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 1, 0) THEN 'seg_010' WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 0, 0) THEN 'seg_000' ELSE 'oth_segs' END AS segment_id, count(*) AS n FROM cpn GROUP BY 1"""),
     "class_weights": q(SCORED, select="SELECT id, CAST(count(*) OVER () AS DOUBLE) / count(*) OVER (PARTITION BY y_true) AS weight FROM s"),
     "per_class_accuracy": q(SCORED, select="\nUNION ALL ".join([*_accuracy(1), *_accuracy(0)])),
     "roc_auc_exact": q(SCORED, select="SELECT CAST(sum(CASE WHEN a.y_pred > b.y_pred THEN 2 WHEN a.y_pred = b.y_pred THEN 1 ELSE 0 END) AS DOUBLE) / (2 * CAST(count(*) AS DOUBLE)) AS auc FROM s a, s b WHERE a.y_true = 1 AND b.y_true = 0"),
