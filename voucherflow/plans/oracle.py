@@ -209,5 +209,5 @@ WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 1, 0) THEN 'seg_
     "profit_at_thresholds": q(SCORED, select="\nUNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS n, CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit FROM s WHERE y_pred >= {t}" for t in (0.25, 0.5, 0.75))),
     "mean_profit": q(SCORED, select="SELECT CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit, count(*) AS n FROM s"),
     "net_profit_test_set": q(*LAB, select="SELECT lab.receipt_key, coalesce(x.Actual_pay_cent, 0) AS Actual_pay_cent FROM lab LEFT JOIN txns x ON x.txn_key = lab.first_valid_txn_key WHERE lab.Receive_date >= DATE '2024-01-22'"),
-    "tree_score": q(*CPN, "m AS (SELECT receipt_key, CASE WHEN coalesce(Coupon_amt_cent, 0) <= 5000.5 THEN CAST(0.5 AS DOUBLE) WHEN Price_limit_cent IS NULL OR Price_limit_cent <= 2000 THEN -0.25 ELSE 0.125 END AS a, CASE WHEN Expiry_span_bin = 0 THEN CAST(0.25 AS DOUBLE) ELSE -0.75 END AS b FROM cpn)", select="SELECT receipt_key, 1 / (1 + exp(-(a + b))) AS y_pred, b AS raw_second FROM m"),
+    "tree_score": q(*CPN, "m AS (SELECT receipt_key, CASE WHEN coalesce(Coupon_amt_cent, 0) <= 5000.5 THEN CAST(0.5 AS DOUBLE) WHEN Price_limit_cent IS NULL OR Price_limit_cent <= 2000 THEN -0.25 ELSE 0.125 END AS a, CASE WHEN Expiry_span_bin = 0 THEN CAST(0.25 AS DOUBLE) ELSE -0.75 END AS b FROM cpn)", select="SELECT receipt_key, round(1 / (1 + exp(-(a + b))), 9) AS y_pred, b AS raw_second FROM m"),
 }

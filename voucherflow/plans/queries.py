@@ -288,7 +288,7 @@ end of trees
 
 
 def tree_score(spark, d):
-    return _coupon(spark, d).select("receipt_key", trees.score_column(MODEL).alias("y_pred"), trees.score_column(MODEL, first=1, count=1, raw=True).alias("raw_second"))
+    return _coupon(spark, d).select("receipt_key", F.round(trees.score_column(MODEL), 9).alias("y_pred"), trees.score_column(MODEL, first=1, count=1, raw=True).alias("raw_second"))
 
 
 QUERIES = {f.__name__: f for f in (
