@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = tempfile.mkdtemp(prefix="voucherflow-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        if local:
+            found = tempfile.mkdtemp(prefix="voucherflow-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
