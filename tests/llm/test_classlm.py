@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voucherflow.llm.classlm import class_lm_scores, exchange, op1_class_lm
+from voucherflow.llm import classlm
+from voucherflow.llm.classlm import best_classes, class_lm_scores, exchange, likelihood, op1_class_lm
 from voucherflow.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,44 @@ def test_empty_tables(spark, odd):
     assert class_lm_scores(odd.limit(0), F.lit(False)).count() == 0
     got = class_lm_scores(odd, F.lit(True)).collect()  # nothing to learn from
     assert {r["train_tokens"] for r in got} == {0} and {r["score"] for r in got} == {0.0}
+
+
+def test_parallel_step_equals_moving_each_word_by_itself():
+    rng = np.random.default_rng(3)
+    classes, k = 4, 12
+    n = rng.poisson(0.8, (k + 1, k + 1))  # the last one is the texts' edge
+    n[k, k] = 0
+    of = np.append(rng.integers(0, classes, k), classes)
+
+    def table(of):
+        one = np.eye(classes + 1)[of]
+        return one.T @ n @ one
+
+    side = classes + 2
+    slots = np.zeros((k, 2 * side + 1))
+    for w in range(k):
+        for v in range(k + 1):
+            if v == w:
+                slots[w, -1] += n[w, w]
+            else:
+                slots[w, of[v]] += n[v, w]
+                slots[w, side + of[v]] += n[w, v]
+    row, slot = np.nonzero(slots)
+    got = best_classes(table(of).astype(float), of[:k].astype(np.int32), row, slot, slots[row, slot], few=2)
+    for w in range(k):
+        values = [likelihood(table(np.where(np.arange(k + 1) == w, d, of)).astype(float)) for d in range(classes)]
+        assert values[got[w]] == pytest.approx(max(values), abs=1e-6)
+
+
+def test_words_beyond_the_head_are_clustered_by_each_other(spark, monkeypatch):
+    """With a head of one word, the others' classes can only come from one another: no word may fall to a default class."""
+    seen = []
+    rounds = classlm.exchange_rounds
+    monkeypatch.setattr(classlm, "exchange_rounds", lambda *a: seen.append(rounds(*a)) or seen[-1])
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[j % 2]}{rng.integers(0, 6)}" for j in range(i % 2, i % 2 + 24)) for i in range(80)] + ["the the the"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(class_lm_scores(df, F.lit(False), head=1, classes=4).collect()) == len(texts)
+    assert all(r["class"] >= 0 for r in seen[0].collect())
+    got = [r["class"] for r in seen[0].collect()]
+    assert len(got) == 13 and len(set(got)) > 1

@@ -6,13 +6,14 @@ and a text's score is the sum of the base-10 logarithms over its words and one e
 Training, over all training texts:
 
 1. *Counts.* Texts are dealt into blocks of about ``block_bytes`` by a hash. Each block gives its own
-   dictionary (word, training count); a shuffle by word sums them.
+   dictionary (word, training count), and its texts as places in that; a shuffle by word sums the counts and gives each word a number.
 2. *Exchange clustering of the head.* The ``head`` most frequent words start in ``classes`` classes, and each in turn moves
    to the class that raises the class bigram likelihood most, until a sweep moves none. It needs only
    the head's bigram counts: at most head**2 numbers, whatever the corpus.
-3. *Exchange step for all others.* Each remaining word's counts of head classes to its left and right
-   are gathered over the corpus, and the word moves to the class with the best likelihood against the head's class
-   table, in parallel, as in distributed word clustering. The vocabulary is never collected or broadcast.
+3. *Exchange rounds of all words.* Each word's counts of the classes to its left and right, texts' edges included, are gathered over the
+   corpus, the class table is rebuilt from them, and every word, of the head or not, moves to its best class against that table, in parallel, as in
+   distributed word clustering. In the first round only the head and the edges have classes; a word beside neither is decided in the next. Rounds go
+   on until one moves at most ``few_moves`` of the tokens or the likelihood rises by under ``least_rise`` (nats) a token. The vocabulary is never collected or broadcast.
 4. *Dictionaries by block.* Counts and classes are joined back to the block dictionaries, and each block's
    texts meet only their own dictionary: memory is bounded by the block. This yields each text's word part and its classes,
    one byte a token.
@@ -28,7 +29,7 @@ count go by their bytes, ties between classes to the lowest.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, repeat
 
@@ -38,10 +39,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard
 from .common import fold, pick, text_hash, written
 
 HAPAX, UNKNOWN = 0x80, 0x7F
-FLUSH = 2_000_000
 
 
 def _tokens(column: pa.ChunkedArray | pa.Array) -> Iterator[list[bytes]]:
@@ -49,15 +50,24 @@ def _tokens(column: pa.ChunkedArray | pa.Array) -> Iterator[list[bytes]]:
         yield text.lower().split()  # bytes.lower() changes A-Z only
 
 
-def _count_block(block: pa.Table) -> pa.Table:
-    seen: Counter = Counter()
-    trained: Counter = Counter()
-    for words, held in zip(_tokens(block["text"]), block["held_out"].to_pylist(), strict=True):
-        (seen if held else trained).update(words)
-    words = list(trained) + [w for w in seen if w not in trained]
-    n = np.zeros(len(words), np.int64)
-    n[: len(trained)] = list(trained.values())
-    return pa.table({"block": pa.repeat(block["block"][0], len(words)), "word": pa.array(words, pa.binary()), "n": n})
+BLOCK_ROWS = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary())])
+BLOCK_DDL = "block long, pos int, word binary, n long, doc_id long, held_out boolean, ids binary"
+SLOT = np.dtype([("slot", "<u2"), ("n", "<u4")])
+
+
+def _code_block(block: pa.Table) -> pa.Table:
+    """One row per word (its place in the block's dictionary, its training count), one per text (its words' places)."""
+    place: defaultdict = defaultdict(count().__next__)
+    ids = [np.fromiter(map(place.__getitem__, words), np.int32, len(words)) for words in _tokens(block["text"])]
+    n = np.zeros(len(place), np.int64)
+    trained = [x for x, held in zip(ids, block["held_out"].to_pylist(), strict=True) if not held]
+    if trained:
+        n += np.bincount(np.concatenate(trained), minlength=len(place))
+    nothing = lambda k, name: pa.nulls(k, BLOCK_ROWS.field(name).type)
+    k, texts, number = len(place), len(ids), block["block"][0]
+    words = pa.table([pa.repeat(number, k), pa.array(np.arange(k, dtype=np.int32)), pa.array(list(place), pa.binary()), pa.array(n), *(nothing(k, x) for x in ("doc_id", "held_out", "ids"))], schema=BLOCK_ROWS)
+    coded = pa.table([pa.repeat(number, texts), *(nothing(texts, x) for x in ("pos", "word", "n")), block["doc_id"], block["held_out"], pa.array([x.tobytes() for x in ids], pa.binary())], schema=BLOCK_ROWS)
+    return pa.concat_tables([words, coded])
 
 
 def _head_bigrams(head: dict[bytes, int]):
@@ -125,92 +135,172 @@ def exchange(bigrams: np.ndarray, n: np.ndarray, classes: int, sweeps: int = 8)
     return of
 
 
-def _contexts(head_class: dict[bytes, int], classes: int):
-    """For each word outside the head: counts of (side, class of the head word there), packed as bytes."""
-    k = len(head_class)
-    class_of = np.fromiter(head_class.values(), np.int64, k)
-
-    def emit(names: list[bytes], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else ((), ())
-        if not len(key):
-            return
-        packed = np.empty(len(key), np.dtype([("slot", "<u2"), ("n", "<u4")]))
-        word, packed["slot"] = np.divmod(key, 2 * classes)
-        packed["n"] = n
-        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        edge = np.r_[start, len(key)] * packed.itemsize
-        for i in range(0, len(start), 50_000):
-            cut = edge[i : i + 50_001]
-            offsets = pa.py_buffer((cut - cut[0]).astype(np.int32))
-            data = pa.py_buffer(packed[cut[0] // packed.itemsize : cut[-1] // packed.itemsize].tobytes())
-            rows = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, data])
-            yield pa.record_batch({"word": pa.array([names[w] for w in word[start[i : i + 50_000]] - k], pa.binary()), "slots": rows})
+def _pack(key: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, pa.Array]:
+    """From sorted keys word * width + slot: the words, and each one's (slot, count) as bytes."""
+    packed = np.empty(len(key), SLOT)
+    word, packed["slot"] = np.divmod(key, width)
+    packed["n"] = n
+    start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    edge = (np.r_[start, len(key)] * SLOT.itemsize).astype(np.int32)
+    return word[start], pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(packed.tobytes())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh() -> defaultdict:
-            d = defaultdict(count(k).__next__)
-            d.update(zip(head_class, range(k), strict=True))
-            return d
 
-        ids_of, keys, held = fresh(), [], 0
-        for batch in batches:
-            ids: list[int] = [-1]
-            for words in _tokens(batch["text"]):
-                ids.extend(map(ids_of.__getitem__, words))
-                ids.append(-1)
-            a = np.array(ids, np.int64)
-            head = np.where((a >= 0) & (a < k), class_of[np.minimum(a, k - 1)], -1) if k else np.full(len(a), -1)
-            here = a[1:-1] >= k
-            for side, near in ((0, head[:-2]), (1, head[2:])):
-                use = here & (near >= 0)
-                keys.append(a[1:-1][use] * (2 * classes) + side * classes + near[use])
-                held += int(use.sum())
-            if held > FLUSH:
-                yield from emit(list(ids_of)[k:], keys)
-                ids_of, keys, held = fresh(), [], 0
-        yield from emit(list(ids_of)[k:], keys)
+def _unpack(slots: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and count of every packed pair."""
+    sizes = np.asarray(pc.binary_length(slots)) // SLOT.itemsize
+    raw = np.frombuffer(b"".join(slots.to_pylist()), SLOT)
+    return np.repeat(np.arange(len(sizes)), sizes), raw["slot"].astype(np.int64), raw["n"].astype(np.float64)
+
+
+NEAR = pa.schema([("id", pa.int64()), ("old", pa.int32()), ("slots", pa.binary())])
+NEAR_DDL = "id long, old int, slots binary"
+
+
+def _near(classes: int):
+    """A block's training texts and dictionary to each word's counts of the classes beside it.
+
+    Slots: the class to the left, the class to the right (``classes`` is a text's edge, ``classes`` + 1 a word without a class yet),
+    and last the word followed by itself, which neither side counts.
+    """
+    side, width = classes + 2, 2 * (classes + 2) + 1
+
+    def run(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
+        pieces = [y for x in texts["ids"].to_pylist() for y in (np.frombuffer(x, np.int32), np.array([-1], np.int32))]
+        a = np.concatenate([np.array([-1], np.int32), *pieces]).astype(np.int64)
+        here = a[1:-1] >= 0
+        w, left, right = a[1:-1][here], a[:-2][here], a[2:][here]
+        if not len(w):
+            return NEAR.empty_table()
+        pos, of = dictionary["pos"].to_numpy(), dictionary["class"].to_numpy()
+        size = int(a.max()) + 1
+        known = pos < size
+        pos, of = pos[known], of[known]
+        class_of, id_of, old = np.full(size + 1, classes + 1), np.zeros(size, np.int64), np.full(size, -1, np.int32)
+        class_of[pos] = np.where(of < 0, classes + 1, of)
+        class_of[-1] = classes  # where -1 points
+        id_of[pos], old[pos] = dictionary["id"].to_numpy()[known], of
+        base = w * width
+        same, same_left = right == w, left == w
+        key, n = np.unique(np.concatenate([(base + class_of[left])[~same_left], (base + side + class_of[right])[~same], (base + 2 * side)[same]]), return_counts=True)
+        word, slots = _pack(key, n, width)
+        return pa.table([id_of[word], old[word], slots], schema=NEAR)
 
     return run
 
 
-def _best_class(table: np.ndarray, total: np.ndarray):
-    """Exchange step of words sorted together, against the head's class table."""
-    classes = len(total)
-    flat = np.concatenate([table, table.T])  # row: side * classes + the neighbour's class; column: the candidate class
-    base = _xlogx(flat)
+def _merge(classes: int):
+    """Sums the slots of rows of one word, which come one after the other."""
+    width = 2 * (classes + 2) + 1
 
-    def choose(words: pa.Array, slots: pa.Array) -> pa.RecordBatch:
-        new = np.r_[True, np.asarray(pc.not_equal(words[1:], words[:-1]))]
-        sizes = np.asarray(pc.binary_length(slots)) // 6
-        raw = np.frombuffer(b"".join(slots.to_pylist()), np.dtype([("slot", "<u2"), ("n", "<u4")]))
-        word = np.repeat(np.cumsum(new) - 1, sizes)
-        key, at = np.unique(word * (2 * classes) + raw["slot"], return_inverse=True)
-        n = np.bincount(at, raw["n"], len(key))
-        word, slot = np.divmod(key, 2 * classes)
-        gain = np.zeros((int(new.sum()), classes))
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        cell = flat[slot]
-        change = _xlogx(cell + n[:, None]) - base[slot]
-        gain[word[first]] = np.add.reduceat(change, first)
-        # its own count is what the head sees of it: about half of both sides together
-        own = np.bincount(word, n, len(gain))[:, None] / 2
-        gain -= 2 * (_xlogx(total + own) - _xlogx(total))
-        return pa.record_batch({"word": words.filter(pa.array(new)), "class": gain.argmax(1).astype(np.int32)})
+    def merged(t: pa.Table) -> pa.RecordBatch:
+        ids = t["id"].to_numpy()
+        new = np.r_[True, ids[1:] != ids[:-1]]
+        row, slot, n = _unpack(t["slots"].combine_chunks())
+        key, at = np.unique((np.cumsum(new) - 1)[row] * width + slot, return_inverse=True)
+        return pa.record_batch([ids[new], t["old"].to_numpy()[new], _pack(key, np.bincount(at, n, len(key)), width)[1]], schema=NEAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            last = t["word"][-1]
-            ends = pc.index(t["word"], last).as_py()
+            if not t.num_rows:
+                continue
+            ends = pc.index(t["id"], t["id"][-1]).as_py()
             if ends:
-                done = t.slice(0, ends).combine_chunks()
-                yield choose(done["word"].chunk(0), done["slots"].chunk(0))
+                yield merged(t.slice(0, ends))
             rest = t.slice(ends)
         if rest is not None and rest.num_rows:
-            done = rest.combine_chunks()
-            yield choose(done["word"].chunk(0), done["slots"].chunk(0))
+            yield merged(rest)
+
+    return run
+
+
+def _class_table(classes: int):
+    """Counts of (class, class to the right), texts' edges being class ``classes``."""
+    side, edge = classes + 2, classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((edge + 1) ** 2)
+        for batch in batches:
+            row, slot, n = _unpack(batch["slots"])
+            old = batch["old"].to_numpy()[row].astype(np.int64)
+            to = np.where(slot == 2 * side, old, slot - side)
+            right = (old >= 0) & (slot >= side) & (to <= edge)
+            starts = (old >= 0) & (slot == edge)
+            cell = np.concatenate([(old * (edge + 1) + to)[right], (edge * (edge + 1) + old)[starts]])
+            table += np.bincount(cell, np.concatenate([n[right], n[starts]]), len(table))
+        at = np.flatnonzero(table)
+        yield pa.record_batch({"cell": at, "n": table[at].astype(np.int64)})
+
+    return run
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(table: np.ndarray, old: np.ndarray, row: np.ndarray, slot: np.ndarray, n: np.ndarray, few: int = 16) -> np.ndarray:
+    """The exchange step of each word by itself: taken out of its class ``old`` (-1: it has none) and put where the likelihood is best.
+
+    (row, slot, n) are the words' counts of neighbours, at most one of a slot. A word all of whose neighbours have no class yet gets -1.
+    """
+    edge = len(table) - 1
+    classes, m, side = edge, len(old), edge + 2
+    dense = np.zeros((m, 2 * side + 1))
+    dense[row, slot] = n
+    left, right, own = dense[:, : edge + 1], dense[:, side : side + edge + 1], dense[:, -1]
+    near = (slot != edge + 1) & (slot != side + edge + 1) & (slot != 2 * side)
+    row, slot, n = row[near], slot[near], n[near]
+    flat = np.zeros((2 * side, classes))  # a slot's cells, by the word's class
+    flat[: edge + 1], flat[side : side + edge + 1] = table[:, :classes], table[:classes].T
+    base = _xlogx(flat)
+    gain = np.zeros((m, classes))
+    steps = np.stack([_xlogx(flat + i) - base for i in range(few)])
+    change = steps[np.minimum(n, few - 1).astype(np.int64), slot]
+    much = np.flatnonzero(n >= few)
+    change[much] = _xlogx(flat[slot[much]] + n[much, None]) - base[slot[much]]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    if len(first):
+        gain[row[first]] = np.add.reduceat(change, first)
+    # the cell where row and column meet
+    r, l, diagonal = right[:, :classes], left[:, :classes], np.diag(table)[:classes]
+    w, d = np.nonzero(((r > 0) & (l > 0)) | (own > 0)[:, None])
+    x = diagonal[d]
+    gain[w, d] += _xlogx(x + r[w, d] + l[w, d] + own[w]) - _xlogx(x + r[w, d]) - _xlogx(x + l[w, d]) + _xlogx(x)
+    out, into = table.sum(1)[:classes], table.sum(0)[:classes]
+    for sums, marginal in ((right.sum(1) + own, out), (left.sum(1) + own, into)):
+        value, at = np.unique(sums, return_inverse=True)
+        gain -= (_xlogx(marginal + value[:, None]) - _xlogx(marginal))[at]
+    # cells and sums of the old class are without the word
+    has = np.flatnonzero(old >= 0)
+    o = old[has]
+    for own_side, other, cells in ((right, left, table), (left, right, table.T)):
+        there = own_side[has, o]
+        w, d = np.nonzero((there > 0)[:, None] & (other[has][:, :classes] > 0))
+        x, less, more = cells[d, o[w]], other[has[w], d], there[w]
+        gain[has[w], d] += _xlogx(x - less + more) - _xlogx(x - less) - _xlogx(x + more) + _xlogx(x)
+    stay = np.zeros(len(has))
+    for own_side, cells, marginal in ((right, table, out), (left, table.T, into)):
+        w, j = np.nonzero(own_side[has])
+        off = j != o[w]
+        w, j = w[off], j[off]
+        x = cells[o[w], j]
+        stay += np.bincount(w, _xlogx(x) - _xlogx(x - own_side[has[w], j]), len(has))
+        stay -= _xlogx(marginal[o]) - _xlogx(marginal[o] - own_side[has].sum(1) - own[has])
+    x = diagonal[o]
+    stay += _xlogx(x) - _xlogx(x - right[has, o] - left[has, o] - own[has])
+    gain[has, o] = stay + 1e-9
+    return np.where((old < 0) & (left.sum(1) + right.sum(1) == 0), -1, gain.argmax(1)).astype(np.int32)
+
+
+def _exchange_step(table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                row, slot, n = _unpack(part["slots"])
+                yield pa.record_batch([part["id"], part["old"], pa.array(best_classes(table, part["old"].to_numpy(), row, slot, n))], names=["id", "old", "class"])
 
     return run
 
@@ -220,20 +310,18 @@ def _encode(n_train: int, n_vocab: int, ends: int, emit: np.ndarray, discount: f
     denominator = np.log10(n_train + n_vocab + 1)
 
     def run(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return out.empty_table()
-        index = dict(zip(dictionary["word"].to_pylist(), count(), strict=False))
-        c = np.r_[dictionary["c"].to_numpy(), 0].astype(np.float64)
-        k = np.r_[dictionary["class"].to_numpy(), UNKNOWN].astype(np.int64)
-        word = np.zeros(len(c))
-        word[:-1] = np.log10(c[:-1] - discount) - emit[k[:-1]]
+        coded = [np.frombuffer(x, np.int32) for x in texts["ids"].to_pylist()]
+        pos = dictionary["pos"].to_numpy()
+        size = max([0, *(int(x.max()) + 1 for x in coded if len(x)), int(pos.max()) + 1 if len(pos) else 0])
+        c, k, word = np.zeros(size), np.full(size, UNKNOWN), np.zeros(size)
+        c[pos], k[pos] = dictionary["c"].to_numpy(), dictionary["class"].to_numpy()
+        word[pos] = np.log10(c[pos] - discount) - emit[k[pos]]
         base = np.log10(c + 1) - denominator
         code = np.where(c == 1, k | HAPAX, k).astype(np.uint8)
         rows = []
-        for words in _tokens(texts["text"]):
-            ids = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-            rows.append((len(words) + 1, int((ids >= 0).sum()) + (ends > 0), float(base[ids].sum()) + np.log10(ends + 1) - denominator, float(word[ids].sum()), code[ids].tobytes()))
-        cols = list(zip(*rows, strict=True))
+        for ids in coded:
+            rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(base[ids].sum()) + np.log10(ends + 1) - denominator, float(word[ids].sum()), code[ids].tobytes()))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table([texts["doc_id"], texts["held_out"], *cols], schema=out)
 
     return run
@@ -284,7 +372,37 @@ def _score(logs: np.ndarray, end: int, n_train: int):
     return run
 
 
-def class_lm_scores(docs: DataFrame, held_out, *, classes: int = 64, head: int = 1000, block_bytes: int = 8 << 20, kappa: float = 5.0) -> DataFrame:
+def exchange_rounds(places: DataFrame, texts: DataFrame, vocab: DataFrame, classes: int, few_moves: float, least_rise: float) -> DataFrame:
+    """Rounds of parallel exchange steps of all words, until a round moves few tokens or raises the likelihood by under ``least_rise`` a token.
+
+    ``places`` (block, pos, id), ``texts`` (block, ids), ``vocab`` (id, c, class; -1: none yet).
+    """
+    tokens, open_ = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("class") < 0, 1))).first()
+    before, best = vocab, -np.inf
+    while tokens:
+        dictionary = places.join(vocab.select("id", "class"), "id")
+        near = texts.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_near(classes), NEAR_DDL)
+        near = written(near.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(classes), NEAR_DDL), "lm-near")
+        table = _sum_cells(near.mapInArrow(_class_table(classes), "cell long, n long"), (classes + 1) ** 2).reshape(classes + 1, classes + 1).astype(np.float64)
+        if not open_:
+            value = likelihood(table)
+            if value < best + least_rise * tokens:
+                return vocab if value > best else before  # steps of many words at once may undo each other
+            before, best = vocab, value
+        chosen = near.mapInArrow(_exchange_step(table), "id long, old int, class int")
+        largest = int(table.sum(1)[:classes].argmax())  # until the next round, for words without a neighbour that has a class
+        chosen = chosen.withColumn("class", F.when(F.col("class") < 0, largest).otherwise(F.col("class")))
+        moved = written(chosen.join(vocab.select("id", "c"), "id").select("id", "c", "old", "class"), "lm-classes")
+        discard(near)
+        n = moved.agg(F.sum(F.when(F.col("old") != F.col("class"), F.col("c")).otherwise(0))).first()[0]
+        vocab = moved.select("id", "c", "class")
+        if not open_ and n <= few_moves * tokens:
+            return vocab
+        open_ = 0
+    return vocab
+
+
+def class_lm_scores(docs: DataFrame, held_out, *, classes: int = 64, head: int = 1000, block_bytes: int = 8 << 20, kappa: float = 5.0, few_moves: float = 0.01, least_rise: float = 0.01) -> DataFrame:
     """Train on the rows for which ``held_out`` is false, score all rows. ``classes`` is at most 120."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -293,8 +411,10 @@ def class_lm_scores(docs: DataFrame, held_out, *, classes: int = 64, head: int =
     blocks = 1 + size // block_bytes
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", text_hash(F.col("text"))), F.lit(blocks)))
 
-    by_block = written(docs.groupBy("block").applyInArrow(_count_block, "block long, word binary, n long"), "lm-words")
-    vocab = written(by_block.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-vocab")
+    by_block = written(docs.groupBy("block").applyInArrow(_code_block, BLOCK_DDL), "lm-words")
+    words, coded = by_block.where("word is not null"), by_block.where("word is null").select("block", "doc_id", "held_out", "ids")
+    vocab = written(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")).withColumn("id", F.monotonically_increasing_id()), "lm-vocab")
+    places = written(words.join(vocab.select("word", "id"), "word").select("block", "pos", "id"), "lm-places")
     stats = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     n_train, n_vocab = stats[1] + ends, stats[0] + (ends > 0)
     once, twice = stats[2] or 0, stats[3] or 0
@@ -306,15 +426,15 @@ def class_lm_scores(docs: DataFrame, held_out, *, classes: int = 64, head: int =
     bigrams = _sum_cells(train.mapInArrow(_head_bigrams(index), "cell long, n long"), k * k).reshape(k, k).astype(np.float64)
     n = np.array([r["c"] for r in top], np.float64)
     of = exchange(bigrams, n, classes) if k else np.zeros(0, np.int64)
-    one = np.eye(classes)[of]
-    table, total = one.T @ bigrams @ one, one.T @ n
-    head_class = dict(zip(index, map(int, of), strict=True))
-
-    near = train.mapInArrow(_contexts(head_class, classes), "word binary, slots binary")
-    near = near.repartition("word").sortWithinPartitions("word").mapInArrow(_best_class(table, total), "word binary, class int")
-    heads = spark.createDataFrame([(bytearray(w), c) for w, c in head_class.items()], "word binary, head_class int")
-    largest = int(np.argmax(total)) if k else 0  # for words that never stand beside a head word
-    vocab = written(vocab.join(near, "word", "left").join(F.broadcast(heads), "word", "left").select("word", "c", F.coalesce("head_class", "class", F.lit(largest)).alias("class")), "lm-classes")
+    heads = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(index, of, strict=True)], "word binary, class int")
+    start = written(vocab.join(F.broadcast(heads), "word", "left").select("id", "c", F.coalesce("class", F.lit(-1)).alias("class")), "lm-classes")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # or the rounds' shuffle files would add up
+    kept = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        vocab = exchange_rounds(places, coded.where(~F.col("held_out")), start, classes, few_moves, least_rise)
+    finally:
+        spark.conf.set(cleanup, kept)
 
     per_class = {r["class"]: r for r in vocab.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     class_n = np.array([per_class[c]["n"] if c in per_class else 0 for c in range(classes)], np.float64)
@@ -323,8 +443,8 @@ def class_lm_scores(docs: DataFrame, held_out, *, classes: int = 64, head: int =
     emit[:classes] = np.log10(np.maximum(class_n, 1))
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("word_score", pa.float64()), ("codes", pa.binary())])
-    dictionary = by_block.select("block", "word").join(vocab, "word")
-    coded = docs.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_encode(n_train, n_vocab, ends, emit, discount, out), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, codes binary")
+    dictionary = places.join(vocab, "id").select("block", "pos", "c", "class")
+    coded = coded.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_encode(n_train, n_vocab, ends, emit, discount, out), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, codes binary")
     coded = written(coded, "lm-codes")
 
     end = classes
