@@ -93,3 +93,14 @@ def test_rows_without_ids_and_exact_copies(spark):
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (9, text)], "doc_id long, text string")
     out = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in dedup_lines(df).collect()))
     assert out == [(False, 4, text), (False, 4, text), (False, 9, ""), (True, 0, "")]
+
+
+def test_runs_longer_than_what_the_first_place_holds_go_whole(docs):
+    """The first text holds only a part of the passage that the third repeats from the second."""
+    for k in range(8):
+        a, b, c, d = (LINE(f"{x}{k}_", 20) for x in "abcd")
+        out = run(docs("\n".join([a, b, d]), "\n".join([a, b, c]), "\n".join([a, b, c])))
+        assert out[3]["text"] == ""
+    long, tail = LINE("long", 55), LINE("tail", 5)
+    assert run(docs(f"{long}\nother", f"{long}\n{tail}", f"{long}\n{tail}"))[3]["text"] == ""
+    assert run(docs(f"other\n{long}", f"{tail}\n{long}", f"{tail}\n{long}"))[3]["text"] == ""

@@ -8,6 +8,10 @@ Lines are hashed with the white space at their ends cut off; lines without a wor
   grams inside every window the one with the least hash is a fingerprint. Two equal runs of so many words contain
   an equal window, hence a common fingerprint: every repeated run of ``guarantee`` words or more is found. A long line is a window by itself.
 
+A fingerprint's origin may hold less of a passage than a later place does, so extension alone could leave a part of it. Every whole window,
+forward from each line and backward from each, is therefore looked up by its own hash as well, and goes where an equal one stands earlier. Each line
+of a repeated run lies in such a window inside the run.
+
 A fingerprint's first place in (doc_id, text hash, line) order is its origin; each later place is matched with the origin only, so a
 passage in n documents gives n - 1 pairs. A match is extended line by line both ways, and the later run's lines are deleted. Every deleted line has an
 equal line at an earlier place, so each line's first place always stays.
@@ -56,12 +60,30 @@ def winnow(text: bytes, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.array(numbers, np.int32), at, value
 
 
+def spans(text: bytes, guarantee: int) -> list[tuple[int, int, int]]:
+    """Hash, first and last line number of the shortest runs of so many words that start, and that end, at each line."""
+    hashes, numbers, ends = [], [], [0]
+    for i, line in enumerate(text.split(b"\n")):
+        if words := len(line.split()):
+            hashes.append(xxhash.xxh64_intdigest(line.strip()))
+            numbers.append(i)
+            ends.append(ends[-1] + words)
+    raw, total, n = np.array(hashes, np.uint64).tobytes(), np.array(ends), len(hashes)
+    forward = [(i, e) for i, e in enumerate(np.searchsorted(total, total[:-1] + guarantee).tolist()) if e <= n]
+    backward = [(i, e) for e, i in enumerate((np.searchsorted(total, total[1:] - guarantee, "right") - 1).tolist(), 1) if i >= 0]
+    hashed = ((xxhash.xxh64_intdigest(raw[8 * i : 8 * e], 1), numbers[i], numbers[e - 1]) for i, e in sorted({*forward, *backward}))
+    return [(h - (1 << 64 if h >> 63 else 0), a, b) for h, a, b in hashed]
+
+
 def _lines(noise: int, guarantee: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [winnow(x, noise, guarantee) for x in batch["text"].cast(pa.binary()).to_pylist()]
+            texts = batch["text"].cast(pa.binary()).to_pylist()
+            rows = [winnow(x, noise, guarantee) for x in texts]
+            whole = [list(zip(*spans(x, guarantee), strict=True)) or [()] * 3 for x in texts]
             arrays = [pa.array(c, t) for c, t in zip(([r[0].tobytes() for r in rows], [r[1].tobytes() for r in rows], [r[2] for r in rows], [r[3] for r in rows]), (pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)]
-            yield pa.record_batch([batch["doc_id"], batch["key"], *arrays], names=["doc_id", "key", "hashes", "numbers", "at", "gram"])
+            arrays += [pa.array([x[i] for x in whole], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.record_batch([batch["doc_id"], batch["key"], *arrays], names=["doc_id", "key", "hashes", "numbers", "at", "gram", "window", "first", "last"])
 
     return run
 
@@ -120,8 +142,8 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, *columns: str, noise: int = 25, guarantee: int = 50) -> DataFrame:
     """doc_id, the further ``columns``, the text without its repeated runs, n_lines, removed_lines, removed_words."""
     docs = documents(docs, "doc_id", "text", *columns)
-    lines = docs.select("doc_id", "key", "text").mapInArrow(_lines(noise, guarantee), "doc_id long, key long, hashes binary, numbers binary, at array<int>, gram array<long>")
-    lines = written(lines.where(F.octet_length("hashes") > 0).groupBy("doc_id", "key").agg(*(F.min(c).alias(c) for c in ("hashes", "numbers", "at", "gram"))), "dedup-lines")
+    lines = docs.select("doc_id", "key", "text").mapInArrow(_lines(noise, guarantee), "doc_id long, key long, hashes binary, numbers binary, at array<int>, gram array<long>, window array<long>, first array<int>, last array<int>")
+    lines = written(lines.where(F.octet_length("hashes") > 0).groupBy("doc_id", "key").agg(*(F.min(c).alias(c) for c in ("hashes", "numbers", "at", "gram", "window", "first", "last"))), "dedup-lines")
 
     marks = lines.select("doc_id", "key", F.explode(F.arrays_zip("at", "gram")).alias("m")).select("doc_id", "key", F.col("m.at").alias("at"), F.col("m.gram").alias("gram"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "at")
@@ -131,7 +153,13 @@ def dedup_lines(docs: DataFrame, *columns: str, noise: int = 25, guarantee: int
     origin = lines.select(F.col("doc_id").alias("origin_id"), F.col("key").alias("origin_key"), F.col("hashes").alias("origin"))
     pairs = pairs.alias("p").join(origin.alias("o"), F.col("p.origin_id").eqNullSafe(F.col("o.origin_id")) & (F.col("p.origin_key") == F.col("o.origin_key"))).select("p.doc_id", "p.key", "o.origin", F.col("m.at").alias("at"), F.col("m.origin_at").alias("origin_at"))
     pairs = pairs.alias("p").join(lines.alias("l"), F.col("p.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("p.key") == F.col("l.key"))).select("p.doc_id", "p.key", "l.hashes", "l.numbers", "p.origin", "p.at", "p.origin_at")
-    cuts = pairs.mapInArrow(_extend, "doc_id long, key long, cut array<struct<first:int,last:int>>").groupBy("doc_id", "key").agg(F.collect_list("cut").alias("cuts"))
+    cuts = pairs.mapInArrow(_extend, "doc_id long, key long, cut array<struct<first:int,last:int>>")
+
+    whole = lines.select("doc_id", "key", F.explode(F.arrays_zip("window", "first", "last")).alias("w")).select("doc_id", "key", "w.*")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "first")
+    firsts = whole.groupBy("window").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1")
+    again = whole.join(firsts, "window").where(place > F.col("o")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
+    cuts = cuts.union(again).groupBy("doc_id", "key").agg(F.collect_list("cut").alias("cuts"))
 
     both = docs.alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key")), "left").select("d.doc_id", *(f"d.{c}" for c in columns), "d.text", "c.cuts")
     kept = ", ".join(f"`{c}` {t}" for c, t in both.drop("text", "cuts").dtypes)
