@@ -82,3 +82,10 @@ def test_stage(spark):
     assert kept.columns == DOCUMENT_COLUMNS
     bad = {r["doc_id"] for r in op5_template_decontam(spark, sf).collect()}
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - bad
+
+
+def test_items_of_numbers_and_copies_in_other_capitals_are_found(spark):
+    sums, names = "Evaluate 3 + 4 * 12 - 7 / 2 + 15 - 6 * 81", "Anna Berta Carla Dora Emma Frieda Greta Hanna Ida Johanna"
+    texts = [f"so it is {sums} and on", f"list of {names} here", QUESTION.title(), QUESTION.upper(), QUESTION.lower(), "Evaluate 4 + 5 * 13 - 8 / 3 + 16 - 7 * 82"]
+    got = found(spark, texts, [(1, sums), (2, names), (3, QUESTION)])
+    assert [[m["item_id"] for m in got[i]] for i in range(6)] == [[1], [2], [3], [3], [3], []]

@@ -2,7 +2,8 @@
 
 Texts of documents and benchmark items become sequences of canonical words: case and punctuation at a word's ends go, and numbers, units,
 quantities and names (capitalised words inside a sentence) become typed placeholders. Windows of ``window`` canonical words with at least ``literals``
-plain ones are hashed on both sides and joined on the hash. Hits of one item on one diagonal are put together, and the words behind the
+plain ones are hashed on both sides and joined on the hash; so are, without that minimum, all windows of the lower-cased words themselves,
+which find exact copies of items made of numbers or names, and copies in other capitals. Hits of one item on one diagonal are put together, and the words behind the
 placeholders are compared: a slot value of the item must stand for one value in the document throughout, and the reverse. So a verbatim copy and a question with other
 numbers or names are both found, while two texts that share a template by chance disagree in their slots.
 
@@ -58,20 +59,21 @@ class Canon(dict):
 
     def __init__(self, most: int = 200_000):
         self.most = most
-        self.plain, self.inside = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)  # at a sentence's start, and inside it
+        self.plain, self.inside, self.lower = (np.zeros(1 << 12, np.uint64) for _ in range(3))  # at a sentence's start, inside it, and without placeholders
         self.slot, self.slot_inside, self.ends, self.void = (np.zeros(1 << 12, bool) for _ in range(4))
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
         if at == len(self.plain):
-            for name in ("plain", "inside", "slot", "slot_inside", "ends", "void"):
+            for name in ("plain", "inside", "lower", "slot", "slot_inside", "ends", "void"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         text = word.decode("utf-8", "replace")
         core = EDGE.sub("", text)
         low = core.lower()
         kind = NUM if low in NUMBERS or NUMBER.fullmatch(low) else QUANT if (m := QUANTITY.fullmatch(low)) and m[1] in UNITS else UNIT if low in UNITS else None
-        self.plain[at] = kind or _hash(low)
+        self.lower[at] = _hash(low)
+        self.plain[at] = kind or self.lower[at]
         self.slot[at] = kind is not None
         name = kind is None and core[:1].isupper() and core[1:].islower()
         self.inside[at] = NAME if name else self.plain[at]
@@ -83,6 +85,10 @@ class Canon(dict):
 
     def __call__(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Its words, the indexes of those that are canonical words, their hashes, and which are slots."""
+        return self.read(text)[:4]
+
+    def read(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the hashes of the lower-cased words."""
         if len(self) > self.most:
             self.clear()
         lines = text.replace(b"\n", b" \x00 ").split()  # a line starts a sentence
@@ -96,7 +102,7 @@ class Canon(dict):
             start[after[after < len(words)]] = True
         use = np.flatnonzero(~self.void[ids])
         ids, start = ids[use], start[use]
-        return words, use, np.where(start, self.plain[ids], self.inside[ids]), np.where(start, self.slot[ids], self.slot_inside[ids])
+        return words, use, np.where(start, self.plain[ids], self.inside[ids]), np.where(start, self.slot[ids], self.slot_inside[ids]), self.lower[ids]
 
 
 def windows(h: np.ndarray, slot: np.ndarray, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +126,17 @@ class Index:
         self.ids, self.words, self.slots = [], [], []
         self.literals, self.lengths = literals, set()
         for item_id, text in items:
-            words, use, h, slot = canon(text.encode())
+            words, use, h, slot, lower = canon.read(text.encode())
             n = min(window, len(h))
-            w, good = windows(h, slot, n, literals)
-            if not good.any():
+            if n < literals:
                 continue
+            w, good = windows(h, slot, n, literals)
+            exact, _ = windows(lower, slot, n, literals)
+            new = ~good | (exact != w)
             self.lengths.add(n)
-            hashes.append(w[good])
-            place.append(np.flatnonzero(good))
-            owner.append(np.full(int(good.sum()), len(self.ids)))
+            hashes += [w[good], exact[new]]
+            place += [np.flatnonzero(good), np.flatnonzero(new)]
+            owner.append(np.full(int(good.sum() + new.sum()), len(self.ids)))
             self.ids.append(item_id)
             self.words.append([EDGE.sub("", words[i].decode()).lower() for i in use])
             self.slots.append(slot)
@@ -140,18 +148,20 @@ class Index:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray, slot: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    def hits(self, h: np.ndarray, slot: np.ndarray, lower: np.ndarray | None = None) -> dict[int, list[tuple[int, int, int]]]:
         """By item: (place in the item, place in the document, words)."""
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for n in self.lengths:
             w, good = windows(h, slot, n, self.literals)
-            at = np.flatnonzero(good & self.seen[(w >> np.uint64(44)).astype(np.int64)]) if len(w) else ()
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.hash, w[at], "left"), np.searchsorted(self.hash, w[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    found[int(self.owner[k])].append((int(self.place[k]), p, n))
+            exact, _ = windows(h if lower is None else lower, slot, n, self.literals)
+            for hashes, use in ((w, good), (exact, ~good | (exact != w))):
+                at = np.flatnonzero(use & self.seen[(hashes >> np.uint64(44)).astype(np.int64)]) if len(w) else ()
+                if not len(at):
+                    continue
+                lo, hi = np.searchsorted(self.hash, hashes[at], "left"), np.searchsorted(self.hash, hashes[at], "right")
+                for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    for k in range(a, b):
+                        found[int(self.owner[k])].append((int(self.place[k]), p, n))
         return found
 
 
@@ -199,8 +209,8 @@ def _match(items: list[tuple[int | None, str]], window: int, literals: int, run:
             for text, before in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["matches"].to_pylist(), strict=True):
                 rows = list(before)
                 if text and index.ids:
-                    words, use, h, slot = canon(text)
-                    for item, hits in sorted(index.hits(h, slot).items()):
+                    words, use, h, slot, lower = canon.read(text)
+                    for item, hits in sorted(index.hits(h, slot, lower).items()):
                         if m := judge(index, item, hits, words, use, run, cover, agree):
                             rows.append(m)
                 out.append(rows)
