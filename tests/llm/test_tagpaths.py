@@ -52,3 +52,11 @@ def test_odd_rows(spark):
     out = sorted((r["page_id"] or 0, r["text"][:6], r["n_chars"]) for r in extract_main_text(df).collect())
     assert out == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "word, ", 1_199_999), (3, "\x00\n\U0001f600.", 4)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_hidden_counts_as_an_attribute_only():
+    for attributes in ('style="overflow: hidden"', 'title="the hidden truth"', "data-x='a hidden b'", 'title="a class=advert b"'):
+        assert main_text(f"<body {attributes}><article {attributes}>{ARTICLE}</article></body>") == WANT
+    assert main_text(f"<html hidden><body hidden aria-hidden=true><article>{ARTICLE}</article></body>") == WANT
+    assert main_text(f"<body><div hidden><p>No, text. None, at all.</p></div><article>{ARTICLE}</article></body>") == WANT
+    assert main_text(f"<body><div title=x hidden=''><p>No, text. None, at all.</p></div><article>{ARTICLE}</article></body>") == WANT

@@ -48,7 +48,7 @@ LAYOUT = frozenset("sidebar aside menu nav navigation navbar footer toolbar widg
 WRAPS = frozenset("with has no content main article post entry layout wrapper page".split())
 HEADS = frozenset("header site-header page-header top-header global-header main-header".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[!/?a-zA-Z][^<>]*$", re.S)
-ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")  # a value is consumed with its name
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
 MARKING = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -59,9 +59,12 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether the element's attributes say that it is no article text; ``inside``: it stands in an article."""
     for attribute, a, b, c in ATTR.findall(attributes):
         value = (a or b or c).lower()
-        if attribute.lower() == "hidden" or (attribute.lower() == "aria-hidden" and value == "true"):
+        attribute = attribute.lower()
+        if name in ("html", "body"):
+            continue
+        if attribute == "hidden" or (attribute == "aria-hidden" and value == "true"):
             return True
-        if attribute.lower() not in ("class", "id", "role") or name in ("html", "body", "main"):
+        if attribute not in ("class", "id", "role") or name == "main":
             continue
         words = {w.lower() for w in WORDS.findall(a or b or c)}
         found = words & (COMMENTING if name == "article" else MARKS)
