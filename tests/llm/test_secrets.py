@@ -64,3 +64,11 @@ def test_odd_rows(spark, odd, odd_count):
     assert find_secrets(odd.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "token=abcdefgh")] * 3, "doc_id long, text string")
     assert [(r["n_assign"], r["spans"]) for r in find_secrets(twice).collect()] == [(1, "assign:0:14")] * 3
+
+
+def test_scope_is_the_gap_between_the_parts_whatever_their_length(docs):
+    opaque, ident = "Zz9yX8wV7uT6sR5q" * 100, "client_id=abc"
+    far = "." * 190 + " "
+    texts = [f"{opaque} {ident}", f"{ident} {opaque}", f"{opaque} {far}{ident}", f"{ident} {far}{opaque}", f"{opaque} {far}{far}{ident}", f"{ident} {far}{far}{opaque}", f"https://h.example/{'x' * 500} password = hunter22"]
+    got = {r["doc_id"]: r for r in find_secrets(docs(*texts)).collect()}
+    assert [got[i]["n_linked"] for i in range(1, 8)] == [2, 2, 2, 2, 0, 0, 1]

@@ -1,14 +1,14 @@
 """Operator 10: secret scan with multipart credential linking, by DataFrame functions only.
 
 Base kinds are always reported: ``assign`` (a keyword with a value), ``access`` (an access identifier) and ``hex``. Weak kinds alone mean nothing and
-are reported only where parts that complete them stand in the same scope, ``scope`` code points to either side:
+are reported only where parts that complete them stand in the same scope, at most ``scope`` code points between the two:
 
 * ``ident`` (a user, account or client name) needs a secret: assign, hex or opaque;
 * ``endpoint`` (a URL or IPv4 address) needs a secret as well;
 * ``opaque`` (a long mixed token) needs an identifier (access, ident) or an endpoint.
 
-A weak candidate that overlaps a base span is dropped. The interval join of a document's parts is a window over their starts with a
-range frame of ``scope`` both ways, so its cost is a sort and no pairs are made.
+A weak candidate that overlaps a base span is dropped. The interval join of a document's parts is a window over the events of their starts and ends:
+at its end, a part asks how far the parts reach that start up to ``scope`` later. Its cost is a sort and no pairs are made.
 
 A pattern's matches come from regexp_extract_all and their places from the lengths of the pieces that split leaves between
 them; both walk through the text in the same way, leftmost and without overlap. Places are code points, ends exclusive.
@@ -71,14 +71,14 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
     parts = found.where(F.size("found") > 0).select("doc_id", "key", F.explode("found").alias("s")).distinct()
     parts = parts.select("doc_id", "key", "s.*")
 
-    document = W.partitionBy("doc_id", "key").orderBy("start")
-    near = document.rangeBetween(-scope, scope)
-    beside = lambda kinds: F.count(F.when(F.col("kind").isin(kinds), 1)).over(near) > 0
+    at_end = F.explode(F.array(F.lit(False), F.lit(True))).alias("at_end")
+    events = parts.select("*", at_end).withColumn("at", F.when(F.col("at_end"), F.col("end")).otherwise(F.col("start")))
+    document = W.partitionBy("doc_id", "key").orderBy("at")
+    reach = lambda kinds, last: F.max(F.when(~F.col("at_end") & F.col("kind").isin(kinds), F.col("end"))).over(document.rangeBetween(W.unboundedPreceding, last))
+    beside = lambda kinds: F.coalesce(reach(kinds, scope) >= F.col("start") - scope, F.lit(False))
     base = F.col("kind").isin(BASE)
-    before = F.max(F.when(base, F.col("end"))).over(document.rangeBetween(W.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(document.rangeBetween(0, W.unboundedFollowing))
-    parts = parts.withColumns({"secret": beside(SECRETS), "identifier": beside(IDENTIFIERS), "place": beside(ENDPOINTS), "before": before, "after": after})
-    clear = (F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    parts = events.withColumns({"secret": beside(SECRETS), "identifier": beside(IDENTIFIERS), "place": beside(ENDPOINTS), "base_end": reach(BASE, -1)}).where("at_end")
+    clear = F.coalesce(F.col("base_end") <= F.col("start"), F.lit(True))
     needs = {"ident": F.col("secret"), "endpoint": F.col("secret"), "opaque": F.col("identifier") | F.col("place")}
     linked = reduce(lambda a, k: a | ((F.col("kind") == k) & needs[k]), needs, F.lit(False))
     kept = parts.where(base | (linked & clear))
