@@ -110,3 +110,7 @@ def test_stage_keeps_one_of_each_group(spark, odd):
     assert kept.columns == DOCUMENT_COLUMNS and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5]
     ids = [r["doc_id"] for r in one_of_each_group(spark, odd, "").collect()]
     assert sorted(ids, key=repr) == sorted([1, 2, 5, 6, 7, -8, None], key=repr)
+
+
+def test_one_gram_equals_the_same_gram_of_a_longer_text():
+    assert ngrams(b"x x x x x", 5).tolist() == ngrams(b"x x x x x x", 5).tolist() != ngrams(b"x x x x", 5).tolist()

@@ -46,7 +46,7 @@ def ngrams(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's n-grams of words."""
     words = text.split()
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(h) > n:
+    if len(h) >= n:
         m = len(h) - n + 1
         out = np.zeros(m, np.uint64)
         for i in range(n):
