@@ -1,7 +1,7 @@
 import html as h
 import re
 
-from voucherflow.llm.tagpaths import extract_main_text, main_text, op4_html_text
+from voucherflow.llm.tagpaths import blocks, extract_main_text, main_text, op4_html_text
 
 ARTICLE = "<p>A first paragraph, long enough to count; it has marks, and more. It goes on &amp; on.</p><p>Short.</p><p>A third one, again long, with commas, and a full stop at its end.</p>"
 WANT = "A first paragraph, long enough to count; it has marks, and more. It goes on & on.\nShort.\nA third one, again long, with commas, and a full stop at its end."
@@ -60,3 +60,14 @@ def test_hidden_counts_as_an_attribute_only():
     assert main_text(f"<html hidden><body hidden aria-hidden=true><article>{ARTICLE}</article></body>") == WANT
     assert main_text(f"<body><div hidden><p>No, text. None, at all.</p></div><article>{ARTICLE}</article></body>") == WANT
     assert main_text(f"<body><div title=x hidden=''><p>No, text. None, at all.</p></div><article>{ARTICLE}</article></body>") == WANT
+
+
+def test_only_links_with_a_target_count_as_links():
+    body = ARTICLE.replace("<p>", "<p>{0}")
+    for anchor in ('<a id="s1"/>', '<a name="top">', "<a name=top></a>", '<a href="#x"/>'):
+        assert main_text(f"<body><div>{body.replace('{0}', anchor)}</div></body>") == WANT, anchor
+    # an unclosed link ends with its block
+    assert main_text(f"<body><div><p>Read this, please. <a href=x>More</p>{ARTICLE}</div></body>") == f"Read this, please. More\n{WANT}"
+    # one around blocks goes on to its end tag
+    shares = [s for _, _, _, s in blocks("<a href=x><p>one</p><p>two</p></a><p>three</p>")]
+    assert shares == [1, 1, 0]

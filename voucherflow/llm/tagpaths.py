@@ -11,7 +11,7 @@ What cannot be article text by its element (scripts, styles, menus, headers and
 id or role (adverts, notices, comments, shares) takes no part in the ratios.
 
 Defined cases: a null or empty html gives an empty text; markup that is cut off, unclosed or nested wrongly is read on as browsers
-do, as far as blocks go; a ``<`` that starts no tag is text; white space in a block becomes one space; rows that repeat come back as often.
+do, as far as blocks go; a link is an ``a`` with an href, up to its end tag or, where another ``a`` or nothing comes before one, to the end of its block; a ``<`` that starts no tag is text; white space in a block becomes one space; rows that repeat come back as often.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ WRAPS = frozenset("with has no content main article post entry layout wrapper pa
 HEADS = frozenset("header site-header page-header top-header global-header main-header".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[!/?a-zA-Z][^<>]*$", re.S)
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")  # a value is consumed with its name
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")  # a slash right after an unquoted value is part of that
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
 MARKING = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -77,7 +79,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, float]]:
     """(tag path, whether it may be article text, text, share of it inside links) of every block that has text, in page order."""
     stack: list[tuple[str, bool]] = []  # name, fit
     text: list[str] = []
-    at, end, linked, links = 0, len(page), 0, 0
+    at, end, linked = 0, len(page), 0
+    links = unclosed = False
     path: tuple[str, ...] = ()
     fit = True
 
@@ -110,8 +113,12 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, float]]:
             t, share = flush()
             if t:
                 yield path, fit, t, share
+            links = links and not unclosed
         if name == "a":
-            links = not closing
+            links = not closing and any(x[0].lower() == "href" for x in ATTR.findall(attributes)) and not SELF_CLOSED.search(attributes)
+            if links:
+                after = ANCHOR.search(page, at)
+                unclosed = after is None or not after[1]
         elif closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
