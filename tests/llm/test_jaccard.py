@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from voucherflow.llm import graph
 from voucherflow.llm.common import DOCUMENT_COLUMNS
 from voucherflow.llm.graph import components
 from voucherflow.llm.jaccard import ORACLE, forest, jaccard_groups, links, ngrams, one_of_each_group, op6_ngram_jaccard, plan_bands
@@ -114,3 +115,12 @@ def test_stage_keeps_one_of_each_group(spark, odd):
 
 def test_one_gram_equals_the_same_gram_of_a_longer_text():
     assert ngrams(b"x x x x x", 5).tolist() == ngrams(b"x x x x x x", 5).tolist() != ngrams(b"x x x x", 5).tolist()
+
+
+def test_components_go_on_until_settled(spark, monkeypatch):
+    edges, least = spark.createDataFrame([(2, 1)], "a long, b long"), spark.createDataFrame([(2, 1)], "a long, m long")
+    rounds = iter(range(100))
+    monkeypatch.setattr(graph, "written", lambda df, name: least if name.endswith("least") else edges)
+    monkeypatch.setattr(graph, "_settled", lambda _: next(rounds) == 80)
+    components(edges)
+    assert next(rounds) == 81

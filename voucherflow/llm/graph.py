@@ -14,16 +14,14 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of any ordered type: (node, root) for every node that has an edge, root the least node of its component.
 
     A hub's neighbours are never gathered: its least neighbour is an aggregate, which is written and joined back to the edges, so that the join
     has a shuffle on either side and AQE can split the hub's partition. Every round is written, so that none is computed again.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    for _ in range(rounds):
-        if _settled(edges):
-            break
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
