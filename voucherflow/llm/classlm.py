@@ -565,7 +565,7 @@ def _score(logs: np.ndarray, end: int, n_train: int):
     return run
 
 
-def class_lm_scores(docs: DataFrame, held_out: Column, *, classes: int = 64, head: int = 1000, block_bytes: int = 16 << 20, part_bytes: int = 16 << 20, kappa: float = 5.0, rounds: int = 3, few_moves: float = 0.01, least_rise: float = 0.01) -> DataFrame:
+def class_lm_scores(docs: DataFrame, held_out: Column, *, classes: int = 64, head: int = 1000, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20, kappa: float = 5.0, rounds: int = 4, few_moves: float = 0.01, least_rise: float = 0.01) -> DataFrame:
     """Train on the rows for which ``held_out`` is false, score all rows. ``classes`` is at most 120."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
