@@ -1,5 +1,7 @@
 import html as h
+import random
 import re
+import time
 
 from voucherflow.llm.tagpaths import blocks, extract_main_text, main_text, op4_html_text
 
@@ -71,3 +73,67 @@ def test_only_links_with_a_target_count_as_links():
     # one around blocks goes on to its end tag
     shares = [s for _, _, _, s in blocks("<a href=x><p>one</p><p>two</p></a><p>three</p>")]
     assert shares == [1, 1, 0]
+
+
+PARAGRAPHS = [
+    "The first paragraph is long, it has commas, and full stops. More of it follows here, to be sure.", "Second one: again long, with commas, and it goes on for a while, as these do. Right.", "Short one.",
+    "A third of good length, with marks; and more, and more. It ends here.", "Fifth, and last: long enough, with commas, to count as prose. The end.",
+]
+PLAIN = "\n".join(PARAGRAPHS)
+LINKS, RIGHTS, REMARK = "<div><a href=1>Home</a> <a href=2>News</a></div>", "<div>Copyright 2024 Example Inc.</div>", "<div>Nice article, thanks!</div>"
+
+
+def _page(middle):
+    return f"<html><body>{LINKS}{middle}{RIGHTS}{REMARK}</body></html>"
+
+
+def test_pages_without_article_main_or_class_names():
+    each = lambda a, b: "".join(f"{a}{x}{b}" for x in PARAGRAPHS)
+    for middle in (each("<div><p>", "</p></div>"), each("<div>", "</div>"), f"<div>{each('<p>', '</p>')}</div>", each("<p>", "</p>"), f"<div><div>{each('<p>', '</p>')}</div></div>"):
+        assert main_text(_page(middle)) == PLAIN, middle
+    points = "<ul><li>A point</li><li>Another</li></ul>"
+    assert main_text(_page(f"<div><h1>A title</h1>{each('<p>', '</p>')}{points}</div>")) == f"A title\n{PLAIN}\nA point\nAnother"
+    table = f"<table><tr><td><ul><li>Weather<li>Sport today<li>More of it</ul></td><td>{each('<p>', '</p>')}{points}</td></tr></table>"
+    assert main_text(f"<body>{table}</body>") == f"{PLAIN}\nA point\nAnother"
+
+
+def test_a_form_around_the_page_is_no_form():
+    inner = f"{LINKS}<div>{''.join(f'<p>{x}</p>' for x in PARAGRAPHS)}</div>{RIGHTS}"
+    assert main_text(f"<body><form action=x>{inner}</form></body>") == PLAIN
+    assert main_text(f"<body><form><article>{ARTICLE}</article></form></body>") == WANT
+    assert main_text("<body><form><label>Name, please.</label> <label>Word</label></form></body>") == ""
+
+
+def test_inline_elements_do_not_part_a_paragraph():
+    assert main_text("<article><p>Let <math><mi>x</mi> &lt; 3</math> be, <script>var a</script>and <button>no</button><span hidden>no</span>so <object>on</object>.</p></article>") == "Let x < 3 be, and so on."
+    assert main_text("<article><p>&#99999999999999; &#x110000; &nosuch;</p></article>") == "� � &nosuch;"
+
+
+def test_hostile_pages_take_linear_time():
+    n = 100_000
+    pages = [
+        "<a " * 300_000, "<div>a" * n, '<a href="x> ' * n, "<a b='" * n, "<article>" + "<span>" * n + "</div>" * n, "<!--" * n, "<" * n, "<p " + "a=b " * n + ">x</p>", "<p>&#" + "9" * 10_000 + ";x</p>",
+        "<ul><li>a" * n, "<script>" * n, "<div><article>" + "<i>" * n + "</div>" * n, "<a href=x>y " * n, "</ " * n, "<p>a<b>" * n, "<form><div>abc" * n, "<td><tr><table>a" * n,
+    ]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_random_pages_give_the_text_that_was_put_in():
+    """Pages made from a known article and known surroundings, in varied markup: the article must come back whole and alone."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice([", ", "; "]) + word() + "."
+    for _ in range(150):
+        paragraphs = [" ".join(sentence(rng.randint(6, 14)) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(4, 12))]
+        paragraphs.insert(rng.randint(1, len(paragraphs) - 1), sentence(2))
+        title = sentence(3)
+        open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div class=post>", "</div>"), ("<section><div>", "</div></section>"), ("<table><tr><td>", "</td></tr></table>")])
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}" + rng.choice(["</p>", "\n", "</p>\n"]) for x in paragraphs)
+        menu = "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(rng.randint(3, 9)))
+        around = [f"<nav><ul>{menu}</ul></nav>", f"<ul>{menu}</ul>", f'<div class="ad">{sentence(4)}</div>', f"<aside><p>{sentence(12)}</p></aside>", f"<script>var x = '<p>{word()}</p>';</script>", f"<!-- {word()} -->", f"<form><input name=q>{word()}</form>"]
+        after = [f"<footer>&copy; {word()}</footer>", f'<div id="comments"><p>{sentence(14)}</p><p>{sentence(9)}</p></div>', f"<div>{word()} {word()}</div>"]
+        page = "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(rng.sample(around, 4)) + open_ + body + close + "".join(rng.sample(after, 2)) + rng.choice(["</body></html>", ""])
+        assert main_text(page) == "\n".join([title, *paragraphs]), page
