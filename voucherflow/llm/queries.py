@@ -1,6 +1,6 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from . import jaccard, warc
+from . import jaccard, secrets, warc
 from .classlm import op1_class_lm
 from .jaccard import op6_ngram_jaccard
 from .linededup import op3_line_dedup
@@ -28,4 +28,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": warc.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,
+    "op10_secret_links": secrets.ORACLE,
 }

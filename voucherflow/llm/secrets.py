@@ -1,14 +1,15 @@
 """Operator 10: secret scan with multipart credential linking, by DataFrame functions only.
 
 Base kinds are always reported: ``assign`` (a keyword with a value), ``access`` (an access identifier) and ``hex``. Weak kinds alone mean nothing and
-are reported only where parts that complete them stand in the same scope, at most ``scope`` code points between the two:
+are reported only where disjoint parts that complete them stand in the same scope: the same paragraph (no blank line between the two), at most ``scope`` code points apart:
 
 * ``ident`` (a user, account or client name) needs a secret: assign, hex or opaque;
 * ``endpoint`` (a URL or IPv4 address) needs a secret as well;
 * ``opaque`` (a long mixed token) needs an identifier (access, ident) or an endpoint.
 
-A weak candidate that overlaps a base span is dropped. The interval join of a document's parts is a window over the events of their starts and ends:
-at its end, a part asks how far the parts reach that start up to ``scope`` later. Its cost is a sort and no pairs are made.
+Characters are read in one way only: a weak span that overlaps a base span, or a weak span of a kind before it in this list, is no candidate: neither
+reported nor evidence for others, so a URL does not complete a token in its own path. The interval join of a document's parts is a pair of running windows over their starts, up and down
+the text: the parts are disjoint, so what completes a part within reach is there if and only if the nearest such part before or after it is. Its cost is a sort and no pairs are made.
 
 A pattern's matches come from regexp_extract_all and their places from the lengths of the pieces that split leaves between
 them; both walk through the text in the same way, leftmost and without overlap. Places are code points, ends exclusive.
@@ -27,33 +28,46 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-TOKEN = r"[A-Za-z0-9+/_=-]"
-#: kind, pattern, group whose length counts, least length; the order is the order at equal starts
+
+def _either(text: str) -> str:
+    """A pattern's letters in either case; A-Z only, which flags of regex engines do not agree on."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
+
+
+GLUE = r"""["']?\x20*[:=]\x20*["']?"""
+URL = _either("https?") + r"""://[^\x20\x09-\x0D"'<>]+"""
+#: kind, pattern, group whose length counts, least length, what the match must look like besides; the order is the order at equal starts
 KINDS = [
-    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]{24,}", 0, 24),  # a match of [0-9a-f]+ is a whole run, so the short ones may fail in the pattern
-    ("ident", r"""(?i)\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]+""", 0, 1),
-    ("endpoint", r"""(?i)\bhttps?://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])""", 0, 1),
-    ("opaque", rf"(?<!{TOKEN})(?={TOKEN}*[0-9])(?={TOKEN}*[A-Za-z]){TOKEN}{{32,}}", 0, 32),
+    ("assign", f"({_either('password|passwd|secret|token|api_?key')}){GLUE}([A-Za-z0-9+/_.=-]+)", 2, 6, []),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, []),
+    ("hex", "[0-9a-f]{24,}", 0, 24, []),  # a match of [0-9a-f]+ is a whole run, so the short ones may fail in the pattern
+    ("ident", f"{_either('(user(_?name|_?id)?|login|client_?id|account(_?id)?|access_?key(_?id)?)')}{GLUE}[A-Za-z0-9@+/_.=-]+", 0, 1, []),
+    ("endpoint", rf"{URL}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(\.[0-9]+)*(:[0-9]+)?", 0, 1, [r"^[Hh]|^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?$"]),
+    ("opaque", "[A-Za-z0-9+/_=-]{32,}", 0, 32, ["[0-9]", "[A-Za-z]"]),
+    ("break", r"\n[\x20\x09\x0D]*\n", 0, 1, []),  # parts paragraphs; never reported
 ]
 BASE = ["assign", "access", "hex"]
+WEAK = ["ident", "endpoint", "opaque"]
 SECRETS, IDENTIFIERS, ENDPOINTS = ["assign", "hex", "opaque"], ["access", "ident"], ["endpoint"]
+NEEDS = {"ident": SECRETS, "endpoint": SECRETS, "opaque": IDENTIFIERS + ENDPOINTS}
+RANK = {k[0]: i for i, k in enumerate(KINDS)}
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
 def _spans(text: Column, rank: int) -> Column:
     """The kind's matches that are long enough; empty, at the cost of one search, where there is none."""
-    kind, pattern, group, least = KINDS[rank]
+    kind, pattern, group, least, also = KINDS[rank]
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    part = whole if group == 0 else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
-        new = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + m["whole"]).alias("end"))
-        return F.struct((start + m["whole"]).alias("at"), F.when(m["part"] >= least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
+        end = start + F.length(m["whole"])
+        new = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+        good = reduce(lambda a, p: a & m["whole"].rlike(p), also, F.length(m["part"]) >= least)
+        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(SPAN)
     all_of = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -67,21 +81,28 @@ def _joined(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans, n_linked: the weak spans reported."""
     docs = documents(docs, "doc_id", "text")
-    found = docs.select("doc_id", "key", F.concat(*(_spans(F.col("text"), i) for i in range(len(KINDS)))).alias("found"))
-    parts = found.where(F.size("found") > 0).select("doc_id", "key", F.explode("found").alias("s")).distinct()
-    parts = parts.select("doc_id", "key", "s.*")
-
-    at_end = F.explode(F.array(F.lit(False), F.lit(True))).alias("at_end")
-    events = parts.select("*", at_end).withColumn("at", F.when(F.col("at_end"), F.col("end")).otherwise(F.col("start")))
-    document = W.partitionBy("doc_id", "key").orderBy("at")
-    reach = lambda kinds, last: F.max(F.when(~F.col("at_end") & F.col("kind").isin(kinds), F.col("end"))).over(document.rangeBetween(W.unboundedPreceding, last))
-    beside = lambda kinds: F.coalesce(reach(kinds, scope) >= F.col("start") - scope, F.lit(False))
-    base = F.col("kind").isin(BASE)
-    parts = events.withColumns({"secret": beside(SECRETS), "identifier": beside(IDENTIFIERS), "place": beside(ENDPOINTS), "base_end": reach(BASE, -1)}).where("at_end")
-    clear = F.coalesce(F.col("base_end") <= F.col("start"), F.lit(True))
-    needs = {"ident": F.col("secret"), "endpoint": F.col("secret"), "opaque": F.col("identifier") | F.col("place")}
-    linked = reduce(lambda a, k: a | ((F.col("kind") == k) & needs[k]), needs, F.lit(False))
-    kept = parts.where(base | (linked & clear))
+    text = F.col("text")
+    found = docs.select("doc_id", "key", "text", F.concat(*(_spans(text, RANK[k]) for k in BASE + WEAK)).alias("found")).where(F.size("found") > 0)
+    weak_there = F.exists("found", lambda s: s["rank"] >= len(BASE))
+    found = found.select("doc_id", "key", F.concat("found", F.when(weak_there, _spans(text, RANK["break"])).otherwise(F.array().cast(SPAN))).alias("found"))
+    parts = found.select("doc_id", "key", F.explode("found").alias("s")).distinct().select("doc_id", "key", "s.*")
+
+    document, so_far = W.partitionBy("doc_id", "key"), (W.unboundedPreceding, -1)
+    up, down = document.orderBy("start", "rank").rowsBetween(*so_far), document.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(*so_far)
+    end_before = lambda those: F.max(F.when(those, F.col("end"))).over(up)
+    start_after = lambda those: F.min(F.when(those, F.col("start"))).over(down)
+
+    stronger = {k: F.col("rank") < RANK[k] for k in WEAK}
+    parts = parts.withColumns({f"{k}_{side}": f(stronger[k]) for k in WEAK for side, f in (("end", end_before), ("start", start_after))})
+    clear = [(F.col("kind") == k) & F.coalesce(F.col(f"{k}_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col(f"{k}_start") >= F.col("end"), F.lit(True)) for k in WEAK]
+    parts = parts.where(reduce(lambda a, b: a | b, clear, ~F.col("kind").isin(WEAK))).select("doc_id", "key", "start", "rank", "kind", "end")
+
+    of = {k: F.col("kind").isin(NEEDS[k]) for k in WEAK} | {"break": F.col("kind") == "break"}
+    parts = parts.withColumns({f"{k}_{side}": f(c) for k, c in of.items() for side, f in (("end", end_before), ("start", start_after))})
+    lowest = F.greatest(F.col("start") - scope, F.coalesce("break_end", F.lit(0)))
+    highest = F.least(F.col("end") + scope, F.coalesce("break_start", F.col("end") + scope))
+    beside = {k: F.coalesce(F.col(f"{k}_end") >= lowest, F.lit(False)) | F.coalesce(F.col(f"{k}_start") <= highest, F.lit(False)) for k in WEAK}
+    kept = parts.where(reduce(lambda a, k: a | ((F.col("kind") == k) & beside[k]), WEAK, F.col("kind").isin(BASE)))
 
     spans = kept.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
     # documents without spans stay apart from the join's skew: a null or repeated doc_id spreads by its text
@@ -95,3 +116,33 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle(scope: int = 200) -> str:
+    """The same by pairs of a document's spans: for small tables."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = []
+    for kind, pattern, group, least, also in KINDS:
+        p = quoted(pattern)
+        good = " AND ".join([f"length(part[i]) >= {least}", *(f"regexp_matches(whole[i], {quoted(a)})" for a in also)])
+        kinds.append(
+            f"SELECT r, '{kind}' AS kind, {RANK[kind]} AS rank, pos AS start, pos + length(whole[i]) AS end_, {good} AS good FROM (SELECT *, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos "
+            f"FROM (SELECT r, list_transform(regexp_split_to_array(t, {p}), lambda x: length(x)) AS gaps, regexp_extract_all(t, {p}, 0) AS whole, regexp_extract_all(t, {p}, {group}) AS part, unnest(range(1, len(regexp_extract_all(t, {p}, 0)) + 1)) AS i FROM d WHERE regexp_matches(t, {p})))"
+        )
+    names = lambda x: ", ".join(f"'{k}'" for k in x)
+    needs = " OR ".join(f"(a.kind = '{k}' AND b.kind IN ({names(v)}))" for k, v in NEEDS.items())
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || end_, ',' ORDER BY start, rank){where}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, kind, rank, start, end_ FROM ({' UNION ALL '.join(kinds)}) WHERE good),
+c AS (SELECT * FROM s a WHERE a.kind NOT IN ({names(WEAK)}) OR NOT EXISTS (SELECT 1 FROM s b WHERE b.r = a.r AND b.rank < a.rank AND b.start < a.end_ AND b.end_ > a.start)),
+near AS (SELECT DISTINCT a.r, a.rank, a.start FROM c a JOIN c b ON a.r = b.r AND ({needs}) AND greatest(a.start, b.start) - least(a.end_, b.end_) <= {scope}
+  WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.r = a.r AND z.kind = 'break' AND z.start >= least(a.end_, b.end_) AND z.start < greatest(a.start, b.start))),
+k AS (SELECT * FROM c WHERE kind IN ({names(BASE)}) UNION ALL SELECT c.* FROM c JOIN near USING (r, rank, start) WHERE kind IN ({names(WEAK)})),
+g AS (SELECT r, {counts}, {joined(f" FILTER (kind IN ({names(BASE)}))")} AS base, {joined('')} AS spans, count(*) FILTER (kind IN ({names(WEAK)})) AS n_linked FROM k GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN g USING (r)
+"""
+
+
+ORACLE = _oracle()
