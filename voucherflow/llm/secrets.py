@@ -51,11 +51,27 @@ WEAK = ["ident", "endpoint", "opaque"]
 SECRETS, IDENTIFIERS, ENDPOINTS = ["assign", "hex", "opaque"], ["access", "ident"], ["endpoint"]
 NEEDS = {"ident": SECRETS, "endpoint": SECRETS, "opaque": IDENTIFIERS + ENDPOINTS}
 RANK = {k[0]: i for i, k in enumerate(KINDS)}
+#: what a text with a match of the kind has in any case: some of these words (the text lower-cased), or what a pattern quickly finds
+HINTS = {
+    "assign": (["password", "passwd", "secret", "token", "key"], None),
+    "access": (["akia"], None),
+    "hex": ([], r"(?:^|[^0-9a-f])[0-9a-f]{24}"),
+    "ident": (["user", "login", "client", "account", "access"], None),
+    "endpoint": (["://"], r"[0-9]\.[0-9]+\.[0-9]"),
+    "opaque": ([], r"(?:^|[^A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32}"),
+}
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _spans(text: Column, rank: int) -> Column:
-    """The kind's matches that are long enough; empty, at the cost of one search, where there is none."""
+def _hinted(kind: str) -> Column:
+    """Whether ``text``, with ``low`` beside it, may have matches of the kind."""
+    words, pattern = HINTS[kind]
+    hints = [F.contains("low", F.lit(w)) for w in words] + ([F.col("text").rlike(pattern)] if pattern else [])
+    return reduce(lambda a, b: a | b, hints)
+
+
+def _spans(text: Column, rank: int, there: Column) -> Column:
+    """The kind's matches that are long enough; empty where ``there`` does not hold."""
     kind, pattern, group, least, also = KINDS[rank]
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -71,7 +87,7 @@ def _spans(text: Column, rank: int) -> Column:
 
     none = F.array().cast(SPAN)
     all_of = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_of).otherwise(none)
+    return F.when(there, all_of).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -82,9 +98,10 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans, n_linked: the weak spans reported."""
     docs = documents(docs, "doc_id", "text")
     text = F.col("text")
-    found = docs.select("doc_id", "key", "text", F.concat(*(_spans(text, RANK[k]) for k in BASE + WEAK)).alias("found")).where(F.size("found") > 0)
-    weak_there = F.exists("found", lambda s: s["rank"] >= len(BASE))
-    found = found.select("doc_id", "key", F.concat("found", F.when(weak_there, _spans(text, RANK["break"])).otherwise(F.array().cast(SPAN))).alias("found"))
+    hinted = docs.withColumn("low", F.lower("text")).select("doc_id", "key", "text", *(_hinted(k).alias(f"may_{k}") for k in HINTS))
+    hinted = hinted.where(reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in HINTS)))
+    weak_may = reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in WEAK))
+    found = hinted.select("doc_id", "key", F.concat(*(_spans(text, RANK[k], F.col(f"may_{k}")) for k in HINTS), _spans(text, RANK["break"], weak_may)).alias("found"))
     parts = found.select("doc_id", "key", F.explode("found").alias("s")).distinct().select("doc_id", "key", "s.*")
 
     document, so_far = W.partitionBy("doc_id", "key"), (W.unboundedPreceding, -1)
