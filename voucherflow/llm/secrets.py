@@ -55,10 +55,10 @@ RANK = {k[0]: i for i, k in enumerate(KINDS)}
 HINTS = {
     "assign": (["password", "passwd", "secret", "token", "key"], None),
     "access": (["akia"], None),
-    "hex": ([], r"(?:^|[^0-9a-f])[0-9a-f]{24}"),
+    "hex": ([], "(?<![0-9a-f])[0-9a-f]{24}"),
     "ident": (["user", "login", "client", "account", "access"], None),
     "endpoint": (["://"], r"[0-9]\.[0-9]+\.[0-9]"),
-    "opaque": ([], r"(?:^|[^A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32}"),
+    "opaque": ([], "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32}"),
 }
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
