@@ -1,9 +1,11 @@
 import random
 
+import pandas
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voucherflow.llm.linededup import dedup_lines, winnow
+from voucherflow.llm.linededup import ORACLE, dedup_lines, winnow
 
 LINE = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
 
@@ -104,3 +106,28 @@ def test_runs_longer_than_what_the_first_place_holds_go_whole(docs):
     long, tail = LINE("long", 55), LINE("tail", 5)
     assert run(docs(f"{long}\nother", f"{long}\n{tail}", f"{long}\n{tail}"))[3]["text"] == ""
     assert run(docs(f"other\n{long}", f"{tail}\n{long}", f"{tail}\n{long}"))[3]["text"] == ""
+
+
+def test_the_part_of_a_run_that_the_first_place_of_its_fingerprint_lacks(docs):
+    """A holds the middle, B the whole, and C repeats B's run: it must go whole, wherever the least hash falls."""
+    for k in range(12):
+        x, y, z, own = (LINE(f"{c}{k}_", n) for c, n in (("x", 20), ("y", 60), ("z", 20), ("own", 9)))
+        out = run(docs(y, "\n".join([x, y, z]), "\n".join([own, x, y, z])))
+        assert out[2]["text"] == f"{x}\n{z}" and out[3]["text"] == own, k
+
+
+def test_random_texts_equal_all_windows_by_brute_force(spark):
+    """The SQL compares every window of every text; lines come from small pools, so runs overlap in many ways."""
+    duckdb = pytest.importorskip("duckdb")
+    for seed in range(4):
+        rng = random.Random(seed)
+        pool = [LINE(f"w{i}_", rng.choice([1, 2, 8, 15, 24, 30, 50, 55])) + rng.choice(["", " ", "\t"]) for i in range(rng.choice([3, 12, 30]))] + ["", "  "]
+        texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["a b\n" * 26, None, ""]
+        for i in range(0, 40, 3):  # whole passages, at other places
+            lines = texts[i].split("\n")
+            texts[i + 1] += "\n" + "\n".join(lines[rng.randrange(len(lines)) :])
+        con = duckdb.connect()
+        con.register("documents", pandas.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+        want = con.sql(f"SELECT doc_id, text, n_lines, removed_lines, removed_words FROM ({ORACLE})").fetchall()
+        got = [tuple(r) for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+        assert sorted(got) == sorted(want) and sum(r[3] for r in got) > 20
