@@ -142,14 +142,15 @@ def dedup_lines(docs: DataFrame, *columns: str, noise: int = 25, guarantee: int
     lines = written(lines.where(F.size("grams") > 0).groupBy("doc_id", "key").agg(*(F.min(c).alias(c) for c in own)), "dedup-lines")
 
     marks = lines.select("doc_id", "key", F.explode("grams").alias("gram"))
-    again = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the joins have a shuffle on either side and a hot hash can be split
+    again = written(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "dedup-repeated")
     some = marks.distinct().join(again, "gram").groupBy("doc_id", "key").agg(F.collect_list("gram").alias("repeated"))
     some = some.alias("s").join(lines.alias("l"), F.col("s.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("s.key") == F.col("l.key"))).select("l.doc_id", "l.key", "l.hashes", "l.numbers", "l.words", "s.repeated")
     found = some.mapInArrow(_extend(noise, guarantee), "doc_id long, key long, found array<struct<window:long,first:int,last:int>>")
     found = written(found.select("doc_id", "key", F.explode("found").alias("w")).select("doc_id", "key", "w.*"), "dedup-windows")
 
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "first")
-    firsts = found.groupBy("window").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("window", "o")
+    firsts = written(found.groupBy("window").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("window", "o"), "dedup-firsts")
     cuts = found.join(firsts, "window").where(place > F.col("o")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
 
     both = docs.alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key")), "left").select("d.doc_id", *(f"d.{c}" for c in columns), "d.text", "c.cuts")
