@@ -1,12 +1,13 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voucherflow.llm.mixing import DOCUMENT_COLUMNS, mix, mixed, op7_source_mix, sainte_lague, targets
+from voucherflow.llm.mixing import DOCUMENT_COLUMNS, ORACLE, mix, mixed, op7_source_mix, sainte_lague, targets
 
 
 @settings(max_examples=200, deadline=None)
@@ -79,3 +80,25 @@ def test_stage(spark):
     sf = "/root/testdata/sf0.001"
     out = mixed(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert out.columns == [*DOCUMENT_COLUMNS, "size", "source_size", "target", "taken"] and out.where("taken < 1").count() == 0
+
+
+def test_equal_rows_share_no_shard_of_their_own_and_are_all_there(spark):
+    rows = [(1, "a b c d e f g", "x", 7)] * 500 + [(None, None, "x", None)] * 3 + [(None, "", "x", 0)] * 2 + [(i, "w " * (i % 40), "y", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mix(df, "source", "text", "n_chars", shard_docs=100).collect()
+    verify(got, 16.0 * 9)
+    count = lambda rows: sorted(Counter(rows).items(), key=str)
+    assert count((r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in got) == count(rows)
+
+
+def test_random_sources_equal_all_quotients_by_brute_force(spark):
+    """The SQL hands blocks out by sorting every quotient."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    for n_sources in (1, 2, 7):
+        rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])), rng.choice([None, *map(chr, range(97, 97 + n_sources))]) if n_sources > 1 else "a") for i in range(250)]
+        con = duckdb.connect()
+        con.register("documents", pandas.DataFrame(rows, columns=["doc_id", "text", "source"]))
+        want = con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE})").fetchall()
+        got = [tuple(r) for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+        assert sorted(got) == sorted(want)

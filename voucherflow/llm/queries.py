@@ -1,6 +1,6 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from . import jaccard, linededup, secrets, warc
+from . import jaccard, linededup, mixing, secrets, warc
 from .classlm import op1_class_lm
 from .jaccard import op6_ngram_jaccard
 from .linededup import op3_line_dedup
@@ -29,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": warc.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,
+    "op7_source_mix": mixing.ORACLE,
     "op10_secret_links": secrets.ORACLE,
 }
