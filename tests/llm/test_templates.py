@@ -1,6 +1,11 @@
 import random
+import re
 
-from voucherflow.llm.templates import DOCUMENT_COLUMNS, Canon, Index, benchmark_matches, drop_contaminated, op5_template_decontam
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
+
+from voucherflow.llm.templates import DOCUMENT_COLUMNS, Canon, benchmark_matches, drop_contaminated, op5_template_decontam, rolled
 
 QUESTION = "Yesterday a farmer called John sold 12 apples and 7 pears for 30 dollars, and then John went home to count the 12 apples again."
 OTHER = "Yesterday a farmer called Mary sold 15 apples and 9 pears for 44 euros, and then Mary went home to count the 15 apples again."
@@ -27,13 +32,13 @@ def test_part_of_an_item_counts_from_a_run_on(spark):
     assert [len(got[i]) for i in (0, 1)] == [1, 0]
 
 
-def test_chunks_give_what_one_pass_gives(spark):
+def test_a_small_bitmap_gives_what_a_large_one_gives(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40)))) for i in range(30)] + [(99, None), (None, "an item that has no number of its own at all"), (31, "equal equals to each other item text"), (30, "equal equals to each other item text")]
     texts = [f"x y {t} z" for _, t in items if t] + ["", None]
     one = found(spark, texts, items)
-    many = found(spark, texts, items, chunk_bytes=300)
+    many = found(spark, texts, items, most_bits=16)
     norm = lambda got: {k: sorted((m["item_id"] is None, m["item_id"], m["run"]) for m in v) for k, v in got.items()}
     assert norm(one) == norm(many)
     ids = [i for i, t in items if t]
@@ -60,12 +65,63 @@ def test_whole_table_equals_brute_force(spark):
     assert len({i for i, _ in got} & set(clean)) <= 1  # symbols stuck to a copied passage hide it from the plain windows
 
 
-def test_canonical_words():
-    canon = Canon()
-    index = Index([(1, "He ran 5 km in 3 hours with Anna today")], 8, 4)
-    _, _, h, slot = canon(b"He ran 5 km in 3 hours with Anna today")
-    assert slot.tolist() == [False, False, True, True, False, True, True, False, True, False]
-    assert list(index.hits(*canon(b"He ran 9 miles in 4 minutes with Bert today")[2:])) == [0]
+def test_canonical_words(spark):
+    _, h, slot, lower = Canon().read([b"He ran 5 km in 3 hours with Anna today", b"He ran 9 miles in 4 minutes with Bert today"])
+    assert slot.tolist() == 2 * [False, False, True, True, False, True, True, False, True, False]
+    assert (h[:10] == h[10:]).all() and (lower[:10] != lower[10:]).sum() == 5
+    assert [len(m) for m in found(spark, ["He ran 9 miles in 4 minutes with Bert today"], [(1, "He ran 5 km in 3 hours with Anna today")]).values()] == [1]
+
+
+def test_batches_of_texts_read_as_each_by_itself():
+    texts = ["He ran. Anna ran\nBert - ran 5km", "", "\x01 odd \x00 Text", "so Carla went (home).", "\n", "A"]
+    whole = Canon().read([x.encode() for x in texts])
+    for i, x in enumerate(texts):
+        one = Canon().read([x.encode()])
+        for a, b in zip(one[1:], whole[1:], strict=True):
+            assert a.tolist() == b[whole[0] == i].tolist()
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=30), st.integers(1, 9))
+def test_rolled_hashes_tell_windows_apart(values, n):
+    h = np.array([v % 3 for v in values], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    got = rolled(h, n)
+    windows_ = [tuple(h[i : i + n].tolist()) for i in range(len(h) - n + 1)]
+    assert len(got) == len(windows_)
+    for i, a in enumerate(windows_):
+        for j, b in enumerate(windows_):
+            assert (got[i] == got[j]) == (a == b)
+
+
+def test_reparameterised_questions_are_found_and_torn_ones_are_not(spark):
+    """Planted: items with other numbers, units and names, put consistently (to be found), and with slots put at random (not), among other prose."""
+    rng = random.Random(11)
+    names, units = ["Anna", "Bert", "Carla", "Dora", "Emil", "Franz", "Greta", "Heinz"], ["apples", "km", "dollars", "litres", "hours", "kg"]
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 8)))
+
+    def question():
+        plain = [word() for _ in range(rng.randint(16, 30))]
+        for k in range(2, len(plain), 5):
+            plain[k] = "{%d}" % rng.randint(0, 4)
+        return " ".join(plain) + " end."
+
+    def fill(q, torn=False):
+        values = rng.sample(names, 3) + [str(rng.randint(10, 999)), rng.choice(units)]
+        return re.sub(r"\{(\d)\}", lambda m: (rng.choice(names) if int(m[1]) < 3 else str(rng.randint(10, 999))) if torn else values[int(m[1])], q)
+
+    questions = [question() for _ in range(60)]
+    items = [(i, fill(q)) for i, q in enumerate(questions)]
+    prose = lambda: " ".join(word() for _ in range(rng.randint(20, 80)))
+    texts = [f"{prose()} {fill(q)} {prose()}" for q in questions] + [prose() for _ in range(100)]
+    got = found(spark, texts, items)
+    caught = sum(any(m["item_id"] == i for m in got[i]) for i in range(60))
+    wrong = sum(m["item_id"] != i for i, ms in got.items() for m in ms)
+    assert caught >= 54 and wrong == 0
+
+
+def test_long_texts_of_one_word_stay_small(spark):
+    """Every window of the text equals every window of the item; rows are sorted and streamed."""
+    got = found(spark, ["la " * 3000, "lo " * 30], [(1, "la " * 40)])
+    assert [len(got[i]) for i in (0, 1)] == [1, 0]
 
 
 def test_odd_rows(spark, odd, odd_count):

@@ -9,11 +9,12 @@ numbers or names are both found, while two texts that share a template by chance
 
 A document is contaminated by an item if a consistent match has ``run`` canonical words in a row, or covers ``cover`` of the item.
 
-The join's small side is the benchmark: it is read in chunks of at most about ``chunk_bytes`` of text, whose hashes go to the tasks, and
-documents pass each chunk in turn, so what is sent out is bounded for any benchmark; there is one chunk unless the benchmark is larger.
+The benchmark's windows are a table of any size. What goes to the tasks that read the documents is a bitmap of their hashes, at most 2 ** ``most_bits`` bits (8 MB): it lets all windows of the
+benchmark pass and few others (more, if the benchmark outgrows it), so only those are shuffled and joined. Of a window that passes go its hash, its place and the hashes of its words. Matches
+are put together from sorted rows as a stream; at most one item's counts are held at a time.
 
 Defined cases: null texts match nothing; an item with fewer words than the window is one window of its own length, down to ``literals``
-words; below that it is never matched; equal items are one, named by the smallest item_id; a null item_id stays null; rows that repeat are judged alike.
+words; below that it is never matched; equal items are one, named by the smallest item_id; a null item_id stays null; rows that repeat are judged alike, each by itself.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, pick, written
+from .common import DOCUMENT_COLUMNS, documents, pick, written
 
 # Words for numbers and units of measurement.
 NUMBERS = frozenset(
@@ -45,6 +48,8 @@ NUMBER = re.compile(r"[-+$€£]*\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 QUANTITY = re.compile(r"\d[\d.,]*([a-z]+)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LINE, TEXT = b"\x00", b"\x01"  # stand for the end of a line and of a text
+SLOT, IS_NAME, ENDS, VOID = 1, 2, 4, 8
 
 
 def _hash(x: str) -> int:
@@ -55,194 +60,259 @@ NUM, UNIT, NAME, QUANT = (_hash(f"\0{x}") for x in ("number", "unit", "name", "q
 
 
 class Canon(dict):
-    """Word (bytes) to a number; arrays by that number give its hashes. Forgets all when it holds ``most`` words."""
+    """Word (bytes) to a number; arrays by that number give its hashes and kind. Forgets all between batches when it holds ``most`` words."""
 
     def __init__(self, most: int = 200_000):
         self.most = most
-        self.plain, self.inside, self.lower = (np.zeros(1 << 12, np.uint64) for _ in range(3))  # at a sentence's start, inside it, and without placeholders
-        self.slot, self.slot_inside, self.ends, self.void = (np.zeros(1 << 12, bool) for _ in range(4))
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.table = np.zeros((0, 3), np.uint64)  # hash with placeholders, of the lower-cased word, and flags
+        self.new: list[tuple[int, int, int]] = []
+        for mark in (LINE, TEXT):
+            self[mark] = len(self)
+            self.new.append((0, 0, ENDS | VOID))
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
-        if at == len(self.plain):
-            for name in ("plain", "inside", "lower", "slot", "slot_inside", "ends", "void"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         text = word.decode("utf-8", "replace")
-        core = EDGE.sub("", text)
+        core = text.strip(".,;:!?")
+        letters = core.isalpha()
+        if not letters:
+            core = EDGE.sub("", text)
         low = core.lower()
-        kind = NUM if low in NUMBERS or NUMBER.fullmatch(low) else QUANT if (m := QUANTITY.fullmatch(low)) and m[1] in UNITS else UNIT if low in UNITS else None
-        self.lower[at] = _hash(low)
-        self.plain[at] = kind or self.lower[at]
-        self.slot[at] = kind is not None
-        name = kind is None and core[:1].isupper() and core[1:].islower()
-        self.inside[at] = NAME if name else self.plain[at]
-        self.slot_inside[at] = name or kind is not None
-        self.ends[at] = text.rstrip("\"')]}*#$%&").endswith((".", "!", "?", ":"))
-        self.void[at] = not core
+        if letters:
+            kind = NUM if low in NUMBERS else UNIT if low in UNITS else None
+        else:
+            kind = NUM if low in NUMBERS or NUMBER.fullmatch(low) else QUANT if (m := QUANTITY.fullmatch(low)) and m[1] in UNITS else UNIT if low in UNITS else None
+        plain = _hash(low)
+        flags = SLOT if kind else IS_NAME if core[:1].isupper() and core[1:].islower() else 0
+        if text.rstrip("\"')]}*#$%&").endswith((".", "!", "?", ":")):
+            flags |= ENDS
+        self.new.append((kind or plain, plain, flags if core else flags | VOID))
         self[word] = at
         return at
 
-    def __call__(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Its words, the indexes of those that are canonical words, their hashes, and which are slots."""
-        return self.read(text)[:4]
-
-    def read(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same, and the hashes of the lower-cased words."""
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts' canonical words, one after the other: the text's number, the hash, whether it is a slot, and the lower-cased word's hash."""
         if len(self) > self.most:
-            self.clear()
-        lines = text.replace(b"\n", b" \x00 ").split()  # a line starts a sentence
-        words = [w for w in lines if w != b"\x00"] if b"\x00" in lines else lines
+            self.start()
+        texts = [x.replace(TEXT, b"\x02") if TEXT in x else x for x in texts]
+        words = b" \x01 ".join(texts).replace(b"\n", b" \x00 ").split()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        start = np.ones(len(words), bool)
-        start[1:] = self.ends[ids[:-1]]
-        if len(words) != len(lines):
-            breaks = np.fromiter((w == b"\x00" for w in lines), bool, len(lines))
-            after = np.flatnonzero(breaks) - np.arange(int(breaks.sum()))
-            start[after[after < len(words)]] = True
-        use = np.flatnonzero(~self.void[ids])
-        ids, start = ids[use], start[use]
-        return words, use, np.where(start, self.plain[ids], self.inside[ids]), np.where(start, self.slot[ids], self.slot_inside[ids]), self.lower[ids]
-
-
-def windows(h: np.ndarray, slot: np.ndarray, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of n words, and which have enough plain words."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.full(m, np.uint64(n), np.uint64)
-    for i in range(n):
-        out = out * BASE + h[i : i + m]
-    out ^= out >> np.uint64(29)
-    plain = np.r_[0, np.cumsum(~slot)]
-    return out, plain[n:] - plain[:-n] >= literals
-
-
-class Index:
-    """Window hashes of some benchmark items, sorted, and the items' canonical words."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int, literals: int):
-        canon, hashes, owner, place = Canon(), [], [], []
-        self.ids, self.words, self.slots = [], [], []
-        self.literals, self.lengths = literals, set()
-        for item_id, text in items:
-            words, use, h, slot, lower = canon.read(text.encode())
-            n = min(window, len(h))
-            if n < literals:
-                continue
-            w, good = windows(h, slot, n, literals)
-            exact, _ = windows(lower, slot, n, literals)
-            new = ~good | (exact != w)
-            self.lengths.add(n)
-            hashes += [w[good], exact[new]]
-            place += [np.flatnonzero(good), np.flatnonzero(new)]
-            owner.append(np.full(int(good.sum() + new.sum()), len(self.ids)))
-            self.ids.append(item_id)
-            self.words.append([EDGE.sub("", words[i].decode()).lower() for i in use])
-            self.slots.append(slot)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, slot: np.ndarray, lower: np.ndarray | None = None) -> dict[int, list[tuple[int, int, int]]]:
-        """By item: (place in the item, place in the document, words)."""
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for n in self.lengths:
-            w, good = windows(h, slot, n, self.literals)
-            exact, _ = windows(h if lower is None else lower, slot, n, self.literals)
-            for hashes, use in ((w, good), (exact, ~good | (exact != w))):
-                at = np.flatnonzero(use & self.seen[(hashes >> np.uint64(44)).astype(np.int64)]) if len(w) else ()
-                if not len(at):
-                    continue
-                lo, hi = np.searchsorted(self.hash, hashes[at], "left"), np.searchsorted(self.hash, hashes[at], "right")
-                for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    for k in range(a, b):
-                        found[int(self.owner[k])].append((int(self.place[k]), p, n))
-        return found
-
-
-def judge(index: Index, item: int, hits: list[tuple[int, int, int]], words: list[bytes], use: np.ndarray, run: int, cover: float, agree: float) -> dict | None:
-    """Put one item's hits together; None if they are too few or their slots disagree."""
-    size, slots = len(index.words[item]), index.slots[item]
-    diagonals: dict[int, set[int]] = defaultdict(set)
-    for q, p, n in hits:
-        diagonals[p - q].update(range(q, q + n))
-    covered: set[int] = set()
-    longest = changed = n_slots = 0
-    for d, places in diagonals.items():
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, np.uint64)])
+            self.new = []
+        flags = self.table[:, 2].astype(np.uint8)[ids]
+        text = np.cumsum(ids == self[TEXT])
+        first = np.ones(len(ids), bool)  # of a sentence; so is a line's first word
+        first[1:] = (flags[:-1] & ENDS) > 0
+        use = np.flatnonzero((flags & VOID) == 0)
+        ids, flags, name = ids[use], flags[use], ((flags & IS_NAME) > 0)[use] & ~first[use]
+        return text[use], np.where(name, np.uint64(NAME), self.table[:, 0][ids]), name | ((flags & SLOT) > 0), self.table[:, 1][ids]
+
+
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n values in a row, put together from hashes of halves."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    powers: dict[int, np.ndarray] = {1: h}
+    base, size = {1: BASE}, 1
+    with np.errstate(over="ignore"):
+        while 2 * size <= n:
+            x = powers[size]
+            powers[2 * size] = x[:-size] * base[size] + x[size:]
+            base[2 * size] = base[size] * base[size]
+            size *= 2
+        out, done = powers[size], size
+        while done < n:
+            size = 1 << (n - done).bit_length() - 1
+            out = out[: len(h) - done - size + 1] * base[size] + powers[size][done : done + len(h) - done - size + 1]
+            done += size
+        out = out + np.uint64(n) * BASE
+        out ^= out >> np.uint64(29)
+        return out * BASE
+
+
+def windows(text: np.ndarray, h: np.ndarray, slot: np.ndarray, lower: np.ndarray, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and hashes of the windows of n words inside one text: on templates with enough plain words, and on the words themselves where that says something else."""
+    w, exact = rolled(h, n), rolled(lower, n)
+    whole = text[: len(w)] == text[n - 1 :] if len(w) else np.zeros(0, bool)
+    plain = np.append(0, np.cumsum(~slot))
+    good = (plain[n:] - plain[:-n] >= literals)[: len(w)] if len(w) else whole
+    a, b = np.flatnonzero(whole & good), np.flatnonzero(whole & (~good | (exact != w)))
+    return np.concatenate([a, b]), np.concatenate([w[a], exact[b]])
+
+
+ITEMS_DDL = "hash long, item long, item_id long, size int, q int, n int, words binary, slots binary"
+
+
+def _items(window: int, literals: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for batch in batches:
+            text, h, slot, lower = canon.read(batch["text"].cast(pa.binary()).to_pylist())
+            edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            rows = []
+            for item, item_id, i, j in zip(batch["item"].to_pylist(), batch["item_id"].to_pylist(), edges, edges[1:], strict=False):
+                n = int(min(window, j - i))
+                if n >= literals:
+                    at, hashes = windows(text[i:j], h[i:j], slot[i:j], lower[i:j], n, literals)
+                    rows += [(int(x), item, item_id, int(j - i), int(q), n, lower[i + q : i + q + n].tobytes(), slot[i + q : i + q + n].tobytes()) for q, x in zip(at, hashes.view(np.int64), strict=True)]
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
+            names = [x.split()[0] for x in ITEMS_DDL.split(", ")]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return run
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of 2 ** 15 neighbours as one row."""
+    for batch in batches:
+        for chunk, bits in zip(batch["chunk"].to_pylist(), batch["bits"].to_pylist(), strict=True):
+            seen = np.zeros(1 << 15, bool)
+            seen[bits] = True
+            yield pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "seen": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+
+HITS_DDL = "row long, doc_id long, key long, hash long, p int, n int, words binary"
+
+
+def _hits(lengths: list[int], bits: int, packed: bytes, literals: int):
+    """The documents' windows that the benchmark may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, seen, numbers = Canon(), np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool), count(TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            number = np.array([next(numbers) for _ in range(batch.num_rows)], np.int64)
+            text, h, slot, lower = canon.read(batch["text"].cast(pa.binary()).to_pylist())
+            begin = np.searchsorted(text, np.arange(batch.num_rows))
+            for n in lengths:
+                at, hashes = windows(text, h, slot, lower, n, literals)
+                hit = np.flatnonzero(seen[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
+                if len(hit):
+                    at, hashes = at[hit], hashes[hit].view(np.int64)
+                    who = text[at]
+                    take = pa.array(who)
+                    words = pa.array([lower[i : i + n].tobytes() for i in at.tolist()], pa.binary())
+                    columns = [pa.array(number[who]), batch["doc_id"].take(take), batch["key"].take(take), pa.array(hashes), pa.array((at - begin[who]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), words]
+                    yield pa.record_batch(columns, names=[x.split()[0] for x in HITS_DDL.split(", ")])
+
+    return run
+
+
+FOUND_DDL = "row long, doc_id long, key long, item_id long, coverage double, run long, slots long, changed_slots long"
+
+
+class Match:
+    """What one item's hits in one document come to, diagonal by diagonal."""
+
+    def __init__(self, size: int, agree: float):
+        self.size, self.agree = size, agree
+        self.covered: set[int] = set()
+        self.longest = self.changed = self.n_slots = 0
+        self.places: set[int] = set()
+        self.behind: dict[int, tuple[int, int]] = {}  # by the slot's place in the item: the word there and the document's
+
+    def add(self, q: int, n: int, item: bytes, slots: bytes, doc: bytes) -> None:
+        self.places.update(range(q, q + n))
+        if any(slots):
+            for k, (s, a, b) in enumerate(zip(slots, np.frombuffer(item, np.int64).tolist(), np.frombuffer(doc, np.int64).tolist(), strict=True)):
+                if s:
+                    self.behind[q + k] = (a, b)
+
+    def end_diagonal(self) -> None:
         there, back = defaultdict(Counter), defaultdict(Counter)
-        pairs = 0
-        for q in places:
-            if slots[q]:
-                a, b = index.words[item][q], EDGE.sub("", words[use[q + d]].decode("utf-8", "replace")).lower()
-                there[a][b] += 1
-                back[b][a] += 1
-                pairs += 1
-        steady = sum(c.most_common(1)[0][1] for c in there.values()) + sum(c.most_common(1)[0][1] for c in back.values())
-        if pairs and steady < 2 * agree * pairs:
-            continue
-        covered |= places
-        n_slots += pairs
-        changed += sum(n for a, c in there.items() for b, n in c.items() if a != b)
-        now = 0
-        for q in range(size + 1):
-            now = now + 1 if q in places else 0
-            longest = max(longest, now)
-    if longest < run and len(covered) < cover * size:
-        return None
-    return {"item_id": index.ids[item], "coverage": len(covered) / size, "run": longest, "slots": n_slots, "changed_slots": changed}
-
-
-MATCH = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("run", pa.int64()), ("slots", pa.int64()), ("changed_slots", pa.int64())])
-MATCH_DDL = "array<struct<item_id:long,coverage:double,run:long,slots:long,changed_slots:long>>"
-
-
-def _match(items: list[tuple[int | None, str]], window: int, literals: int, run: int, cover: float, agree: float):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, canon = Index(items, window, literals), Canon()
+        for a, b in self.behind.values():
+            there[a][b] += 1
+            back[b][a] += 1
+        pairs = len(self.behind)
+        steady = sum(max(c.values()) for c in there.values()) + sum(max(c.values()) for c in back.values())
+        if steady >= 2 * self.agree * pairs:
+            self.covered |= self.places
+            self.n_slots += pairs
+            self.changed += sum(a != b for a, b in self.behind.values())
+            now, last = 0, -2
+            for q in sorted(self.places):
+                now = now + 1 if q == last + 1 else 1
+                self.longest, last = max(self.longest, now), q
+        self.places, self.behind = set(), {}
+
+
+def _judge(run_words: int, cover: float, agree: float):
+    """From rows sorted by (row, item, d, q) to the matches that count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = diagonal = match = None
+        out: list[tuple] = []
+
+        def end() -> None:
+            match.end_diagonal()
+            if match.longest >= run_words or len(match.covered) >= cover * match.size:
+                row, doc_id, key, item_id = named
+                out.append((row, doc_id, key, item_id, len(match.covered) / match.size, match.longest, match.n_slots, match.changed))
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 3
+            batch = pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in FOUND_DDL.split(", ")])
+            out.clear()
+            return batch
+
         for batch in batches:
-            out = []
-            for text, before in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["matches"].to_pylist(), strict=True):
-                rows = list(before)
-                if text and index.ids:
-                    words, use, h, slot, lower = canon.read(text)
-                    for item, hits in sorted(index.hits(h, slot, lower).items()):
-                        if m := judge(index, item, hits, words, use, run, cover, agree):
-                            rows.append(m)
-                out.append(rows)
-            keep = batch.schema.names[:-1]
-            yield pa.record_batch([*(batch[c] for c in keep), pa.array(out, pa.list_(MATCH))], names=batch.schema.names)
-
-    return task
-
-
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *columns: str, window: int = 8, literals: int = 4, run: int = 13, cover: float = 0.6, agree: float = 0.75, chunk_bytes: int = 4 << 20) -> DataFrame:
+            for r in batch.to_pylist():
+                if (r["row"], r["item"]) != pair:
+                    if match is not None:
+                        end()
+                    pair, diagonal, match, named = (r["row"], r["item"]), r["d"], Match(r["size"], agree), (r["row"], r["doc_id"], r["key"], r["item_id"])
+                elif r["d"] != diagonal:
+                    match.end_diagonal()
+                    diagonal = r["d"]
+                match.add(r["q"], r["n"], r["item_words"], r["slots"], r["words"])
+            if out:
+                yield flush()
+        if match is not None:
+            end()
+        yield flush()
+
+    return run
+
+
+def benchmark_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals: int = 4, run: int = 13, cover: float = 0.6, agree: float = 0.75, most_bits: int = 26) -> DataFrame:
+    """A row for each document row and item that it contains: row (a number of the document row), doc_id, key, item_id, coverage, run, slots, changed_slots."""
+    spark = docs.sparkSession
+    items = pick(benchmark, "item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("text"))
+    items = written(items.mapInArrow(_items(window, literals), ITEMS_DDL), "templates-items")
+    lengths, n = items.agg(F.collect_set("n"), F.count("*")).first()  # at most ``window`` lengths
+    bits = int(min(most_bits, max(16, np.ceil(np.log2(64 * n + 1)))))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    chunks = items.select(place.alias("at")).distinct().groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.collect_list((F.col("at") % (1 << 15)).cast("int")).alias("bits"))
+    packed = bytearray(1 << bits - 3)
+    for r in chunks.mapInArrow(_bitmap, "chunk long, seen binary").toLocalIterator():
+        packed[r["chunk"] << 12 : r["chunk"] + 1 << 12] = r["seen"]
+
+    hits = documents(docs, "doc_id", "text").mapInArrow(_hits(sorted(lengths), bits, bytes(packed), literals), HITS_DDL)
+    hits = written(hits, "templates-hits")
+    pairs = hits.join(items.withColumnRenamed("words", "item_words"), ["hash", "n"]).withColumn("d", F.col("p") - F.col("q"))
+    pairs = pairs.select("row", "doc_id", "key", "item", "item_id", "size", "d", "q", "n", "item_words", "slots", "words")
+    return pairs.repartition("row", "item").sortWithinPartitions("row", "item", "d", "q").mapInArrow(_judge(run, cover, agree), FOUND_DDL)
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *columns: str, **how) -> DataFrame:
     """doc_id, text, the further ``columns`` and ``matches``, the benchmark items that the text contains."""
-    docs = pick(docs, "doc_id", "text", *columns).withColumn("matches", F.array().cast(MATCH_DDL))
-    items = pick(benchmark, "item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = 1 + size // chunk_bytes
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes[:-1]) + f", matches {MATCH_DDL}"
-    for i in range(chunks):
-        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(chunks)) == i)
-        some = [(r["item_id"], r["text"]) for r in part.orderBy(F.asc_nulls_last("item_id"), "text").collect()]
-        docs = docs.mapInArrow(_match(some, window, literals, run, cover, agree), schema)
-        if i + 1 < chunks:  # else a task would hold a Python worker for every chunk at once
-            docs = written(docs, "templates-chunk")
-    return docs
+    found = benchmark_pairs(docs, benchmark, **how).select("doc_id", "key", F.struct("item_id", "coverage", "run", "slots", "changed_slots").alias("m"))
+    found = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("m")).alias("matches"))
+    both = documents(docs, "doc_id", "text", *columns).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left")
+    return both.select("d.doc_id", "d.text", *(f"d.{c}" for c in columns), F.coalesce("f.matches", F.array().cast(found.schema["matches"].dataType)).alias("matches"))
 
 
 def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return benchmark_matches(docs, benchmark).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return benchmark_pairs(docs, benchmark).drop("row", "key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that contain no benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = benchmark_matches(docs, benchmark, *[c for c in DOCUMENT_COLUMNS if c not in ("doc_id", "text")])
-    return found.where(F.size("matches") == 0).select(*DOCUMENT_COLUMNS)
+    bad = benchmark_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "key").distinct()
+    all_ = documents(docs, *DOCUMENT_COLUMNS)
+    return all_.join(bad, all_["doc_id"].eqNullSafe(bad["doc_id"]) & (all_["key"] == bad["key"]), "left_anti").select(*DOCUMENT_COLUMNS)
