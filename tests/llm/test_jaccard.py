@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voucherflow.llm import graph
+from voucherflow.llm import graph, jaccard
 from voucherflow.llm.common import DOCUMENT_COLUMNS
 from voucherflow.llm.graph import components
 from voucherflow.llm.jaccard import ORACLE, forest, jaccard_groups, links, ngrams, one_of_each_group, op6_ngram_jaccard, plan_bands
@@ -124,3 +124,29 @@ def test_components_go_on_until_settled(spark, monkeypatch):
     monkeypatch.setattr(graph, "_settled", lambda _: next(rounds) == 80)
     components(edges)
     assert next(rounds) == 81
+
+
+def chain(n, step=5, size=100):
+    """Texts that each share most of their words with the next one only: similarity 0.82 to the next, 0.67 to the one after."""
+    words = [f"c{i}" for i in range(n * step + size)]
+    return [(i, " ".join(words[i * step : i * step + size])) for i in range(n)]
+
+
+def test_a_chain_is_verified_by_buckets_and_equals_all_pairs(spark, monkeypatch):
+    seen = []
+    units = jaccard._units
+    monkeypatch.setattr(jaccard, "_units", lambda *a: seen.append(units(*a)) or seen[-1])
+    rows = chain(300)
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
+    assert {r["class_id"] for r in got} == {0} and sorted(r["n_links"] for r in got) == [1, 1] + [2] * 298
+    sent = seen[0].selectExpr("sum(blocks)", "sum(if(band is null, 0, 1))").first()
+    assert sent[1] > 0 and sent[0] < 300 * 300 / 8 / 2  # the component as one unit would be 300 classes in 38 blocks
+
+
+def test_both_ways_of_a_large_component_and_rows_that_repeat(spark):
+    rows = near_copies(random.Random(9), 40, 3) + [(1000 + i, t) for i, t in chain(60)]
+    rows += [(5000 + i, rows[3][1]) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:1] * 50, "doc_id long, text string")
+    got = jaccard_groups(df, block=6).collect()
+    assert len(got) == len(rows) + 50
+    check(rows, got)

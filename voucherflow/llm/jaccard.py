@@ -6,8 +6,10 @@
    the defaults 0.99992 at 0.8 and under 0.009 at 0.3. ``plan_bands`` finds them for another threshold and recall.
 3. Classes are shuffled on band hashes. A bucket yields its members' edges to its least member, not its pairs; the connected components of these edges hold every
    candidate pair.
-4. Inside a component every pair is verified on the full sets. Components are cut into blocks of ``block`` classes, and a task has two blocks: the work
-   on a large group is spread, and what is returned is each class's number of links and a spanning forest of the links, not the pairs.
+4. Pairs are verified on the full sets. A component of up to ``block`` classes is a *unit*: one task compares its members. A larger one is verified in the cheaper of two ways, by the number of texts that must be
+   sent: as one unit, which suits a true group of copies, or with each of its buckets as a unit, which suits a chain of chance collisions, where all pairs of the component would be far more than
+   the candidates. Buckets of the same members count once, and a pair is compared in its first common bucket only. Units are cut into blocks of ``block`` classes, and a task has two
+   blocks: the work on a large unit is spread, and what is returned is each class's number of links and a spanning forest of the links, not the pairs.
 5. The connected components of the links are the groups.
 
 Result: one row per document with the group's id, its own text's id, and its text's links to other texts.
@@ -141,31 +143,68 @@ def forest(close: np.ndarray) -> np.ndarray:
         root = new
 
 
+def common_bands(bands: np.ndarray, before: int) -> np.ndarray:
+    """Which pairs share one of the first ``before`` bands."""
+    out = np.zeros((len(bands), len(bands)), bool)
+    for k in range(before):
+        out |= bands[:, k][:, None] == bands[:, k][None, :]
+    return out
+
+
 def _verify(n: int, threshold: float):
     schema = pa.schema([("set", pa.binary()), ("root", pa.binary()), ("links", pa.int64()), ("whole", pa.bool_())])
 
     def run(group: pa.Table) -> pa.Table:
-        ids, at = group["set"].to_pylist(), {}
-        for i, x in enumerate(ids):
-            at.setdefault(x, i)  # a document may be there in several equal rows
-        order = sorted(at)
-        texts = group["text"].cast(pa.binary())
-        sets = [ngrams(texts[at[x]].as_py(), n) for x in order]
-        if len(sets) < 2:
+        order = sorted(range(group.num_rows), key=group["set"].to_pylist().__getitem__)
+        if len(order) < 2:
+            return schema.empty_table()
+        group = group.take(order)
+        names, band = group["set"].to_pylist(), group["band"][0].as_py()
+        compared = np.ones((len(names), len(names)), bool)
+        if group["i"][0].as_py() != group["j"][0].as_py():  # pairs inside a block are another task's
+            block = group["own"].to_numpy()
+            compared = block[:, None] != block[None, :]
+        if band is not None:  # and those of an earlier bucket are that one's
+            compared &= ~common_bands(np.array(group["bands"].to_pylist(), np.int64), band)
+        np.fill_diagonal(compared, False)
+        some = np.flatnonzero(compared.any(0))
+        if not len(some):
             return schema.empty_table()
-        close = links(sets, threshold)
-        i, j, whole = group["i"][0].as_py(), group["j"][0].as_py(), group["blocks"][0].as_py() == 1
-        if i != j:  # pairs inside a block are another task's
-            block = np.array([group["own"][at[x]].as_py() for x in order])
-            close &= block[:, None] != block[None, :]
+        texts = group["text"].cast(pa.binary())
+        close = links([ngrams(texts[int(k)].as_py(), n) for k in some], threshold) & compared[np.ix_(some, some)]
         root, count = forest(close), close.sum(1)
         hit = np.flatnonzero(count)
-        return pa.table([[order[k] for k in hit], [order[root[k]] for k in hit], count[hit].astype(np.int64), [whole] * len(hit)], schema=schema)
+        whole = group["whole"][0].as_py()
+        return pa.table([[names[some[k]] for k in hit], [names[some[root[k]]] for k in hit], count[hit].astype(np.int64), [whole] * len(hit)], schema=schema)
 
     return run
 
 
-def jaccard_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 7, block: int = 512) -> DataFrame:
+UNIT = ["set", "unit", "blocks", "whole", "band", "bands"]
+
+
+def _units(parts: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """The classes of every unit to verify; ``band`` is null where the unit is a component."""
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = written(parts.groupBy("root").agg(F.count("*").alias("n")), "jaccard-sizes")
+    nodes = parts.join(sizes, "root").select(F.col("node").alias("set"), "root", "n")
+    none = [F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<long>").alias("bands")]
+    small = nodes.where(F.col("n") <= block).select("set", F.col("root").alias("unit"), F.lit(1).alias("blocks"), F.lit(True).alias("whole"), *none)
+    if sizes.where(F.col("n") > block).isEmpty():
+        return small
+    large = written(nodes.where(F.col("n") > block).join(classes.select("set", "bands"), "set"), "jaccard-large")
+    members = large.select("set", "root", "bands", F.posexplode("bands").alias("band", "bucket"))
+    buckets = members.groupBy("root", "bucket").agg(F.count("*").alias("m"), F.min("band").alias("band"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"), F.min("set").alias("least")).where("m > 1")
+    buckets = written(buckets.groupBy("root", "m", "who", "least").agg(F.min(F.struct("band", "bucket")).alias("b")).select("root", "m", "b.*"), "jaccard-buckets")
+    cost = buckets.groupBy("root").agg(F.sum(F.col("m") * blocks(F.col("m"))).alias("sent"))
+    ways = written(sizes.where(F.col("n") > block).join(cost, "root").select("root", "n", (F.col("n") * blocks(F.col("n")) <= F.col("sent")).alias("as_one")), "jaccard-ways")
+    one = large.drop("n", "bands").join(ways.where("as_one"), "root").select("set", F.col("root").alias("unit"), blocks(F.col("n")).alias("blocks"), F.lit(False).alias("whole"), *none)
+    chosen = written(buckets.join(ways.where("not as_one"), "root").select("bucket", "band", "m"), "jaccard-chosen")
+    many = members.drop("band").join(chosen, "bucket").select("set", F.encode(F.hex("bucket"), "utf-8").alias("unit"), blocks(F.col("m")).alias("blocks"), F.lit(False).alias("whole"), "band", "bands")
+    return small.union(one).union(many).select(*UNIT)
+
+
+def jaccard_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 7, block: int = 128) -> DataFrame:
     """doc_id, key, class_id (its group), text_id (its copies), n_links, and the group's first document (first_id, first_key)."""
     docs = documents(docs, "doc_id", "text")
     signed = written(docs.mapInArrow(_signatures(n, bands, rows), "doc_id long, key long, set binary, bands array<long>"), "jaccard-bands")
@@ -177,13 +216,12 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, bands
     stars = members.join(leaders, "bucket").where("set <> leader").select(F.col("set").alias("a"), F.col("leader").alias("b"))
     parts = written(components(written(stars.distinct(), "jaccard-stars")), "jaccard-parts")
 
-    sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = parts.join(sizes, "root").join(classes.select(F.col("set").alias("node"), "first"), "node")
-    cut = cut.select("root", F.col("node").alias("set"), "blocks", F.col("first.doc_id").alias("id"), F.col("first.key").alias("first_key"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    found = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]) & (docs["key"] == cut["first_key"])).select("root", "set", "text", "blocks", "own")
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = found.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-    checked = written(found.groupBy("root", "i", "j").applyInArrow(_verify(n, threshold), "set binary, root binary, links long, whole boolean"), "jaccard-links")
+    firsts = parts.join(classes.select(F.col("set").alias("node"), "first"), "node").select(F.col("node").alias("set"), F.col("first.doc_id").alias("id"), F.col("first.key").alias("first_key"))
+    texts = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["id"]) & (docs["key"] == firsts["first_key"])).groupBy("set").agg(F.max("text").alias("text"))  # rows that repeat are one
+    cut = _units(parts, classes, block).withColumn("own", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+    found = cut.join(texts, "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = found.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    checked = written(found.groupBy("unit", "i", "j").applyInArrow(_verify(n, threshold), "set binary, root binary, links long, whole boolean"), "jaccard-links")
 
     ends = checked.where("whole").select(F.col("set").alias("node"), "root")
     spread = checked.where("not whole")
