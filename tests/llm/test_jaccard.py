@@ -126,8 +126,8 @@ def test_components_go_on_until_settled(spark, monkeypatch):
     assert next(rounds) == 81
 
 
-def chain(n, step=5, size=100):
-    """Texts that each share most of their words with the next one only: similarity 0.82 to the next, 0.67 to the one after."""
+def chain(n, step=8, size=100):
+    """Texts that each share most of their words with the next one only: similarity 0.85 to the next, 0.71 to the one after."""
     words = [f"c{i}" for i in range(n * step + size)]
     return [(i, " ".join(words[i * step : i * step + size])) for i in range(n)]
 
