@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from voucherflow.operators.flags import flag_shares, flag_transactions, untracked
@@ -67,3 +69,15 @@ def test_strict_leaves_imputed_out(make):
     r = make.receipts((1, 100, *WINDOW))
     t = impute_missing_coupons(make.txns((1, -1, "2023-01-10"), (1, 100, "2023-01-10")), r)
     assert [x["txn_key"] for x in flag_transactions(t, r, strict=True).collect()] == [2]
+
+
+def test_many_windows_of_one_user_equal_plain_loops(make):
+    rng = random.Random(12)
+    day = lambda n: f"2023-05-{n:02d}"
+    receipts = [(rng.choice([1, 1, 1, 2]), rng.choice([None, -1, 100, 101, 102]), day(rng.randint(1, 28)), day(a := rng.randint(1, 28)), day(min(28, max(1, a + rng.randint(-2, 6))))) for _ in range(25)]
+    txns = [(rng.choice([1, 2, 3, -1]), -1, rng.choice([None, day(rng.randint(1, 28))]), 500, rng.choice([0, 9])) for _ in range(80)]
+    got = {r["txn_key"]: (r["Coupon_id_code"], *[r[f] for f in FLAGS]) for r in impute_missing_coupons(make.txns(*txns), make.receipts(*receipts)).collect()}
+    for key, (user, _, pay, _, reduced) in enumerate(txns, 1):
+        fits = [r for r in receipts if pay and user != -1 and r[0] == user and r[3] <= r[4] and max(r[2], r[3]) <= pay <= r[4]]
+        none = pay is not None and user != -1 and not fits and reduced < 1
+        assert got[key] == (fits[0][1] if len(fits) == 1 else -1, int(len(fits) == 1), int(none), int(len(fits) != 1 and not none))

@@ -24,9 +24,15 @@ def _read(spark: SparkSession | None, path) -> DataFrame:
     return tables.days_only(tables.read_parquet(_session(spark), str(path)))
 
 
+def _apart(out, *sources) -> None:
+    """An output must not overwrite what is still to be read."""
+    if str(out) in map(str, sources):
+        raise ValueError(f"{out} is input and output")
+
+
 def _label(fh_or_st: str) -> str:
     if fh_or_st not in ("fh", "st"):
-        raise ValueError("fh_or_st must be either 'fh' or 'st'.")
+        raise ValueError(f"fh_or_st names the full (fh) or the short window (st), not {fh_or_st!r}")
     return FH if fh_or_st == "fh" else ST
 
 
@@ -80,17 +86,21 @@ def add_keys(txns_df: DataFrame, receipts_df: DataFrame) -> tuple[DataFrame, Dat
 
 
 def impute_missing_coupon_ids(txns_df: DataFrame, receipts_df: DataFrame, txns_out_pq, receipts_out_pq) -> DataFrame:
-    """Writes both tables and returns the imputed transactions as written."""
+    """Writes both tables and returns the imputed transactions as written. Neither may be a file that the frames are read from."""
+    for out in (txns_out_pq, receipts_out_pq):
+        _apart(out.rstrip("/") if isinstance(out, str) else out, *[x.rsplit("/", 1)[0].removeprefix("file://") for df in (txns_df, receipts_df) for x in df.inputFiles()])
     tables.write_parquet(reconcile.impute_missing_coupons(txns_df, receipts_df), str(txns_out_pq))
     tables.write_parquet(receipts_df, str(receipts_out_pq))
     return _read(txns_df.sparkSession, txns_out_pq)
 
 
 def add_txn_level_flags(receipts_parquet, txns_parquet, txn_out_parquet, reconcile_strict: int = 0, threads: int = 8, spark: SparkSession | None = None) -> None:
+    _apart(txn_out_parquet, receipts_parquet, txns_parquet)
     tables.write_parquet(flags.flag_transactions(_read(spark, txns_parquet), _read(spark, receipts_parquet), bool(reconcile_strict)), str(txn_out_parquet))
 
 
 def build_labels(receipts_parquet, txns_parquet, out_parquet, reconcile_strict: int = 0, short_days: int = 15, threads: int = 8, spark: SparkSession | None = None) -> None:
+    _apart(out_parquet, receipts_parquet, txns_parquet)
     tables.write_parquet(labels.label_receipts(_read(spark, receipts_parquet), _read(spark, txns_parquet), short_days, bool(reconcile_strict)), str(out_parquet))
 
 
@@ -100,16 +110,19 @@ def diag_on_receipts(receipts_parquet, Price_limit_bin_splits: list[int], Coupon
 
 
 def coupon_features(receipts_labelled_parquet, out_parquet, lookback_days: list[int] | None = None, Price_limit_bin_splits: list[int] | None = None, Coupon_limit_bin_splits: list[int] | None = None, Expiry_span_bin_split: int = 10, holidays: list[date] | None = None, workdays: list[date] | None = None, threads: int = 8, spark: SparkSession | None = None) -> None:
+    _apart(out_parquet, receipts_labelled_parquet)
     out = features.coupon_features(_read(spark, receipts_labelled_parquet), lookback_days, price_splits=Price_limit_bin_splits, coupon_splits=Coupon_limit_bin_splits, expiry_split=Expiry_span_bin_split, holidays=holidays, workdays=workdays)
     tables.write_parquet(out.orderBy("Receive_date", "receipt_key"), str(out_parquet))
 
 
 def user_features(receipts_labelled_parquet, txns_parquet, visits_parquet, out_parquet, lookback_days: list[int] | None = None, threads: int = 8, spark: SparkSession | None = None) -> None:
+    _apart(out_parquet, receipts_labelled_parquet, txns_parquet, visits_parquet)
     out = features.user_features(_read(spark, receipts_labelled_parquet), _read(spark, txns_parquet), _read(spark, visits_parquet), lookback_days)
     tables.write_parquet(out.orderBy("receipt_key"), str(out_parquet))
 
 
 def features_combining(cpn_features_parquet, user_features_parquet, out_parquet, threads: int = 8, spark: SparkSession | None = None) -> None:
+    _apart(out_parquet, cpn_features_parquet, user_features_parquet)
     tables.write_parquet(features.combine(_read(spark, cpn_features_parquet), _read(spark, user_features_parquet)), str(out_parquet))
 
 

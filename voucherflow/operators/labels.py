@@ -40,7 +40,7 @@ def pair_history(txns: DataFrame) -> DataFrame:
 def with_orphans(txns: DataFrame, receipts: DataFrame) -> DataFrame:
     """Usable transactions with ``orphan``: 1 if no receipt of the same user and coupon covers the day.
 
-    The receipts of a pair are distinct windows, sorted and merged into spans that do not touch, so a pair's array is bounded by the calendar.
+    Of a pair's receipts the latest end for each first day is kept, so a pair's array is bounded by the calendar.
     """
     w = windows(receipts).where(~missing("User_id_code") & ~missing("Coupon_id_code")).where("start_eff <= end_eff")
     spans = w.groupBy(*PAIR, "start_eff").agg(F.max("end_eff").alias("end_eff")).groupBy(*PAIR).agg(F.collect_list(F.struct("start_eff", "end_eff")).alias("spans"))

@@ -88,20 +88,30 @@ def score_column(text: str, columns: dict[str, str] | None = None, first: int =
     return total if raw else sigmoid(total)
 
 
-def train_gbt(df: DataFrame, label: str, weight: str | None = None, rounds: int = 10, step: float = 0.05, depth: int = 5, seed: int = 1) -> tuple[list[str], GBTClassificationModel]:
-    """Gradient-boosted trees on all other columns; nulls are passed on as NaN."""
+def _assembled(df: DataFrame, features: list[str], categorical: dict[str, int]) -> DataFrame:
+    """A vector of the features; a categorical one of k values, from -1 or 0 on, is marked as such and split by sets of its values."""
+    numbers = {c: F.col(c).cast("double") for c in features}
+    kind = lambda c: {"metadata": {"ml_attr": {"type": "nominal", "num_vals": categorical[c] + 1}}} if c in categorical else {}
+    rows = df.select("*", *[(F.coalesce(x, F.lit(-1.0)) + 1 if c in categorical else x).alias(f"_{c}", **kind(c)) for c, x in numbers.items()])
+    return VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features", handleInvalid="keep").transform(rows).drop(*[f"_{c}" for c in features])
+
+
+def train_gbt(df: DataFrame, label: str, weight: str | None = None, rounds: int = 10, step: float = 0.05, depth: int = 5, seed: int = 1, categorical: dict[str, int] | None = None) -> tuple[list[str], GBTClassificationModel]:
+    """Gradient-boosted trees on all other columns; nulls are passed on as NaN. ``categorical``: features that are classes, such as the bins, with their number of values.
+
+    A tree of depth 5 has at most 32 leaves.
+    """
     features = [c for c in df.columns if c not in (label, weight)]
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
+    rows = _assembled(df, features, categorical or {})
     model = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {}))
     return features, model.fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
-def predict_gbt(df: DataFrame, features: list[str], model: GBTClassificationModel) -> DataFrame:
-    """Adds y_pred, the probability of class 1."""
+def predict_gbt(df: DataFrame, features: list[str], model: GBTClassificationModel, categorical: dict[str, int] | None = None) -> DataFrame:
+    """Adds y_pred, the probability of class 1; ``categorical`` as in training."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
-    return model.transform(rows).withColumn("y_pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(_assembled(df, features, categorical or {})).withColumn("y_pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def save_gbt(features: list[str], model: GBTClassificationModel, path: str) -> None:

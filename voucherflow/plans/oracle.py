@@ -130,6 +130,24 @@ FROM cpn WHERE End_date <= DATE '2024-01-31' AND {before('2024-01-22')}
 UNION ALL SELECT receipt_key, label_invalid, NULL, 'test' FROM cpn WHERE End_date <= DATE '2024-01-31' AND Receive_date >= DATE '2024-01-22'""")
 
 
+RANGES = [("2024-01-08", "2024-01-10"), ("2024-01-12", "2024-01-14"), ("2024-01-16", "2024-01-19")]
+
+
+def _three(kind: str) -> str:
+    before = (lambda d: f"End_date < DATE '{d}'") if kind == "policy" else (lambda d: f"Receive_date < DATE '{d}' - 5")
+    marks = ", ".join(f"CASE WHEN Receive_date BETWEEN DATE '{a}' AND DATE '{b}' THEN 2 WHEN {before(a)} THEN 1 ELSE 0 END AS fold_{i}_marker" for i, (a, b) in enumerate(RANGES, 1))
+    return q(*CPN, select=f"""SELECT receipt_key, {marks} FROM cpn WHERE End_date <= DATE '2024-01-31' AND {before('2024-01-22')}
+UNION ALL SELECT receipt_key, NULL, NULL, NULL FROM cpn WHERE End_date <= DATE '2024-01-31' AND Receive_date >= DATE '2024-01-22'""")
+
+
+def _auc(where: str) -> str:
+    return f"(SELECT CAST(sum(CASE WHEN a.y_pred > b.y_pred THEN 2 WHEN a.y_pred = b.y_pred THEN 1 ELSE 0 END) AS DOUBLE) / (2 * CAST(count(*) AS DOUBLE)) FROM s a, s b WHERE a.y_true = 1 AND b.y_true = 0 AND a.{where} AND b.{where})"
+
+
+def _listed(name: str, part: str, columns: list[tuple[str, str]]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(repr(c) for c in columns)}) v({name}, {part})"
+
+
 def _shares(table: str, parts: tuple[str, ...], columns: list[str]) -> str:
     return q(*parts, select="\nUNION ALL ".join(f"SELECT '{c}' AS flag, CAST(sum({c}) AS BIGINT) AS n, CAST(sum({c}) AS DOUBLE) / count(*) AS share FROM {table}" for c in columns))
 
@@ -206,6 +224,21 @@ WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 1, 0) THEN 'seg_
     "per_class_accuracy": q(SCORED, select="\nUNION ALL ".join([*_accuracy(1), *_accuracy(0)])),
     "roc_auc_exact": q(SCORED, select="SELECT CAST(sum(CASE WHEN a.y_pred > b.y_pred THEN 2 WHEN a.y_pred = b.y_pred THEN 1 ELSE 0 END) AS DOUBLE) / (2 * CAST(count(*) AS DOUBLE)) AS auc FROM s a, s b WHERE a.y_true = 1 AND b.y_true = 0"),
     "top5_profit": q(SCORED, "k AS (SELECT *, row_number() OVER (ORDER BY y_pred DESC, id) AS n, count(*) OVER () AS all_n FROM s)", select="SELECT avg(y_true) AS rate, avg(Actual_pay_cent) AS profit, count(*) AS n FROM k WHERE n <= ceil(CAST(all_n AS DOUBLE) * 5 / 100)"),
+    "per_class_accuracy_rounded": q(SCORED, select="SELECT threshold, round_even(accuracy * 1000, 0) / 1000 AS accuracy, class FROM (" + "\nUNION ALL ".join([*_accuracy(1), *_accuracy(0)]) + ")"),
+    "roc_auc_mean_of_folds": q(SCORED, f"f AS (SELECT {', '.join(f'{_auc(f"id % 3 = {i}")} AS auc_{i}' for i in range(3))})", select="SELECT *, round((auc_0 + auc_1 + auc_2) / 3, 12) AS mean_auc FROM f"),
+    "policy_three_folds": _three("policy"),
+    "roi_three_folds": _three("roi"),
+    "split_without_folds": q(*CPN, select="SELECT receipt_key, 'false' AS has_folds FROM cpn WHERE End_date < DATE '2024-01-22' UNION ALL SELECT receipt_key, 'test' FROM cpn WHERE Receive_date >= DATE '2024-01-22'"),
+    "dataset_columns": _listed("column_name", "part", [*[(c, "x") for c in ("User_id_code", "Coupon_id_code", "Price_limit_cent", "Coupon_amt_cent", "Generosity_ratio", "Start_bf_receive_marker", "End_bf_receive_marker", "Weekday_marker", "Workday_marker", "Holiday_marker")], ("label_same_user_st", "y")]),
+    "csv_ingest": q(select="SELECT txn_key, Pay_date, Coupon_type, Actual_pay_cent, Reduce_amount_cent, Biz_code FROM txns"),
+    "csv_typed": q(select="SELECT receipt_key, Receive_date, Price_limit_cent FROM receipts"),
+    "csv_first_rows": q(select="SELECT least(17, count(*)) AS n FROM txns"),
+    "parquet_round_trip": q(select="SELECT receipt_key, Receive_date, Start_date, End_date FROM receipts WHERE Coupon_status = 2"),
+    "parameter_table": "SELECT * FROM (VALUES (DATE '2024-01-01'), (DATE '2024-05-01')) v(holiday)",
+    "metrics_history": "SELECT '{\"auc\": 0.5, \"run\": ' || run || '}' AS metrics FROM (VALUES (1), (2)) v(run)",
+    "keys_and_originals": "SELECT column_name, true AS same_keys FROM (VALUES ('receipt_key'), ('User_id_code'), ('Coupon_id_code'), ('Coupon_amt_cent'), ('Receive_date'), ('Start_date'), ('Price_limit_cent'), ('Coupon_status'), ('End_date')) v(column_name)",
+    "sorted_ranks": q(select="SELECT receipt_key, Receive_date, CAST(row_number() OVER (ORDER BY Receive_date NULLS FIRST, receipt_key) - 1 AS BIGINT) AS place FROM receipts"),
+    "gbt_predictions": q(*CPN, select="SELECT receipt_key, CASE WHEN Price_limit_bin = 1 OR Coupon_limit_bin = 0 THEN 1 ELSE 0 END AS predicted FROM cpn"),
     "profit_at_thresholds": q(SCORED, select="\nUNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS n, CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit FROM s WHERE y_pred >= {t}" for t in (0.25, 0.5, 0.75))),
     "mean_profit": q(SCORED, select="SELECT CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit, count(*) AS n FROM s"),
     "net_profit_test_set": q(*LAB, select="SELECT lab.receipt_key, coalesce(x.Actual_pay_cent, 0) AS Actual_pay_cent FROM lab LEFT JOIN txns x ON x.txn_key = lab.first_valid_txn_key WHERE lab.Receive_date >= DATE '2024-01-22'"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import clean, diagnostics, features, flags, labels, metrics, reconcile, splits, trailing, trees
+from ..sources import scratch, tables
 from . import demo
 
 LOOKBACK = [8, 15]
@@ -187,7 +188,7 @@ def union_by_name_distinct(spark, d):
 
 
 def _trainable(spark, d):
-    lab = _labelled(spark, d)
+    lab = scratch.written(_labelled(spark, d), "labels")  # read by five consumers
     coupon = features.coupon_features(lab, LOOKBACK, holidays=[date(2024, 1, 1)], workdays=[date(2024, 1, 7)])
     return features.combine(coupon, features.user_features(lab, demo.txns(spark, d), demo.visits(spark, d), LOOKBACK))
 
@@ -210,6 +211,34 @@ def roi_split_folds(spark, d):
     return _split("roi", spark, d)
 
 
+RANGES = [(date(2024, 1, 8), date(2024, 1, 10)), (date(2024, 1, 12), date(2024, 1, 14)), (date(2024, 1, 16), date(2024, 1, 19))]
+
+
+def _three(kind, spark, d):
+    train, test = splits.split(kind, _coupon(spark, d), TEST_START, CUTOFF, RANGES, 5)
+    return train.select("receipt_key", *[f"fold_{i}_marker" for i in (1, 2, 3)]).unionByName(test.select("receipt_key"), allowMissingColumns=True)
+
+
+def policy_three_folds(spark, d):
+    return _three("policy", spark, d)
+
+
+def roi_three_folds(spark, d):
+    return _three("roi", spark, d)
+
+
+def split_without_folds(spark, d):
+    train, test = splits.split("policy", _coupon(spark, d), TEST_START, None, [])
+    return train.select("receipt_key", F.lit(str("fold_1_marker" in train.columns).lower()).alias("has_folds")).union(test.select("receipt_key", F.lit("test")))
+
+
+def dataset_columns(spark, d):
+    """The columns that features and label of each model keep."""
+    train, _ = splits.split("roi", _coupon(spark, d), TEST_START, CUTOFF, RANGES, 5)
+    x, y = splits.x_y(splits.dataset(train, "label_same_user_st", drop_bins=True), "label_same_user_st")
+    return spark.createDataFrame([(c, part) for part, df in (("x", x), ("y", y)) for c in df.columns], "column_name string, part string")
+
+
 def fold_datasets(spark, d):
     """Rows and positives of each fold's train and validation set, valid receipts only."""
     train, _ = splits.split("roi", _coupon(spark, d), TEST_START, CUTOFF, [(FIRST, LAST)], 5)
@@ -237,6 +266,18 @@ def per_class_accuracy(spark, d):
     return one(1).union(one(0))
 
 
+def per_class_accuracy_rounded(spark, d):
+    s = _scored(spark, d)
+    return metrics.class_accuracy(s, which=1).withColumn("class", F.lit(1)).union(metrics.class_accuracy(s, which=0).withColumn("class", F.lit(0)))
+
+
+def roc_auc_mean_of_folds(spark, d):
+    s = _scored(spark, d)
+    folds = [metrics.roc_auc(s.where(F.col("id") % 3 == i)).select(F.col("auc").alias(f"auc_{i}")) for i in range(3)]
+    one = folds[0].join(folds[1]).join(folds[2])  # three tables of one row
+    return one.select("*", F.round(metrics.mean_of_folds([F.col(f"auc_{i}") for i in range(3)]), 12).alias("mean_auc"))
+
+
 def roc_auc_exact(spark, d):
     return metrics.roc_auc(_scored(spark, d))
 
@@ -259,6 +300,76 @@ def net_profit_test_set(spark, d):
     return metrics.with_net_profit(lab.where(F.col("Receive_date") >= F.lit(TEST_START)).select("receipt_key"), lab, t)
 
 
+def _raw_csv(spark, d):
+    """Transactions as a raw CSV file with its text columns."""
+    t, path = demo.txns(spark, d), scratch.new_path(spark, "raw-csv")
+    cents = lambda c: (F.col(c) / 100).cast("decimal(18,2)").cast("string")
+    raw = t.select(
+        F.col("User_id_code").alias("User_id"), F.col("Shop_id_code").alias("Shop_id"), F.col("txn_key").alias("Order_id"), F.col("Coupon_id_code").alias("Coupon_id"), "Coupon_type", "Biz_code",
+        "Pay_date", cents("Actual_pay_cent").alias("Actual_pay"), cents("Reduce_amount_cent").alias("Reduce_amount"),
+    )
+    tables.write_csv(raw, path)
+    return path
+
+
+def csv_ingest(spark, d):
+    """Written as CSV, read as text, required columns checked, dates and money parsed."""
+    got = tables.read_transactions(spark, _raw_csv(spark, d))
+    return got.select(F.col("Order_id").cast("long").alias("txn_key"), "Pay_date", "Coupon_type", "Actual_pay_cent", "Reduce_amount_cent", "Biz_code")
+
+
+def csv_typed(spark, d):
+    path = scratch.new_path(spark, "typed-csv")
+    tables.write_csv(demo.receipts(spark, d).select("receipt_key", "Receive_date", "Price_limit_cent"), path)
+    return tables.read_csv(spark, path, "receipt_key long, Receive_date date, Price_limit_cent long")
+
+
+def csv_first_rows(spark, d):
+    return tables.read_csv_text(spark, _raw_csv(spark, d), ["Order_id"], "transactions", 17).agg(F.count("*").alias("n"))
+
+
+def parquet_round_trip(spark, d):
+    """Sink, column catalog and projected, filtered scan."""
+    path = scratch.new_path(spark, "sink")
+    tables.write_parquet(demo.receipts(spark, d), path)
+    names = [c for c in tables.column_catalog(spark, path) if c.endswith("_date")]
+    return tables.read_parquet(spark, path, ["receipt_key", *names], [[("Coupon_status", "==", 2)]])
+
+
+def parameter_table(spark, d):
+    return tables.one_column(spark, "holiday", [date(2024, 1, 1), date(2024, 5, 1)], "date")
+
+
+def metrics_history(spark, d):
+    path = scratch.new_path(spark, "metrics")
+    for run in (1, 2):
+        tables.append_metrics(spark, {"run": run, "auc": 0.5}, path)
+    return tables.read_parquet(spark, path)
+
+
+def keys_and_originals(spark, d):
+    """Keys added and checked, codes in place of the original ids, and the key sets of both sides of a step equal."""
+    r = demo.receipts(spark, d).withColumn("User_id", F.when(F.col("User_id_code") >= 0, F.col("User_id_code"))).drop("User_id_code")
+    (coded,), _ = clean.encode_ids("User_id", r)
+    clean.assert_unique(coded, "receipt_key")
+    (out,) = clean.drop_originals("User_id", coded)
+    same = clean.same_values(r, out, "receipt_key")
+    return spark.createDataFrame([(c, same) for c in sorted(out.columns)], "column_name string, same_keys boolean")
+
+
+def sorted_ranks(spark, d):
+    """Places in the order in which coupon features are stored."""
+    return clean.dense_index(demo.receipts(spark, d).select("receipt_key", "Receive_date"), "place", F.asc_nulls_first("Receive_date"), "receipt_key")
+
+
+def gbt_predictions(spark, d):
+    """Trees trained on a label that the bins decide must give that label back."""
+    df = _coupon(spark, d).select("receipt_key", "Price_limit_bin", "Coupon_limit_bin", "Expiry_span_bin", F.expr("cast(Price_limit_bin = 1 or Coupon_limit_bin = 0 as int)").alias("y"))
+    bins = {"Price_limit_bin": 3, "Coupon_limit_bin": 3, "Expiry_span_bin": 2}
+    features, model = trees.train_gbt(df.drop("receipt_key"), "y", rounds=3, step=0.5, categorical=bins)
+    return trees.predict_gbt(df, features, model, bins).select("receipt_key", (F.col("y_pred") >= 0.5).cast("int").alias("predicted"))
+
+
 MODEL = """tree
 feature_names=Price_limit_cent Coupon_amt_cent Expiry_span_bin
 
@@ -297,4 +408,6 @@ QUERIES = {f.__name__: f for f in (
     coupon_bins, coupon_markers, calendar_markers, segment_lookback, user_receipt_lookback, user_spend_lookback, user_visit_lookback, asof_prefix, order_rollup,
     segment_diagnostics, segment_redemption_rate, receipt_flag_shares, union_by_name_distinct, trainable_join, policy_split_folds, roi_split_folds, fold_datasets, dnf_filter, segment_catalog,
     class_weights, per_class_accuracy, roc_auc_exact, top5_profit, profit_at_thresholds, mean_profit, net_profit_test_set, tree_score,
+    policy_three_folds, roi_three_folds, split_without_folds, dataset_columns, per_class_accuracy_rounded, roc_auc_mean_of_folds, csv_ingest, csv_typed, csv_first_rows, parquet_round_trip,
+    parameter_table, metrics_history, keys_and_originals, sorted_ranks, gbt_predictions,
 )}

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 MISSING = -1  #: code of a missing id
 
+# Column names of the raw files.
 RAW_TXN = ["User_id", "Shop_id", "Order_id", "Coupon_id", "Coupon_type", "Biz_code", "Pay_date", "Actual_pay", "Reduce_amount"]
 RAW_RECEIPT = ["User_id", "Coupon_id", "Coupon_status", "Coupon_amt", "Receive_date", "Start_date", "End_date", "Price_limit"]
 RAW_VISIT = ["User_id", "Visit_date"]
@@ -19,6 +20,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
+# Column names of the coded tables.
 TXN = _struct(User_id_code=_long, Shop_id_code=_long, Order_id_code=_long, Coupon_id_code=_long, Coupon_type=_long, Biz_code=_text, Pay_date=_date, Actual_pay_cent=_long, Reduce_amount_cent=_long, txn_key=_long)
 RECEIPT = _struct(User_id_code=_long, Coupon_id_code=_long, Coupon_amt_cent=_long, Receive_date=_date, Start_date=_date, End_date=_date, Price_limit_cent=_long, Coupon_status=_long, receipt_key=_long)
 LABELLED = _struct(
