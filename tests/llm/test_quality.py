@@ -1,5 +1,6 @@
 """The quality classifier and the weakly supervised rules."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -108,3 +109,63 @@ def test_rules_odd_rows(spark, odd, odd_count):
         assert 0 <= r["posterior"] <= 1
     assert [r["n_repeat_words"] for r in got if r["doc_id"] == -8] == [9]
     assert weakrules.weak_quality(odd.limit(0)).count() == 0
+
+
+def plain_features(text):
+    """The statistics from their definitions, by regular expressions over the bytes."""
+    t = (text or "").encode()
+    n = lambda pattern, x=t: len(re.findall(pattern, x))
+    words, lines = re.findall(rb"[^ \t-\r]+", t), [x for x in t.split(b"\n") if re.search(rb"[^ \t-\r]", x)]
+    grams = Counter(zip(words, words[1:], words[2:]))  # noqa: B905
+    repeated = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    chars, upper, lower, digit, symbols, marks = len(b"".join(words).decode()), n(rb"[A-Z]"), n(rb"[a-z]"), n(rb"[0-9]"), n(rb"[#*$%&|<>]"), n(rb"[-.,;:!?'\"()]")
+    w, c, k = max(1, len(words)), max(1, chars), max(1, len(lines))
+    stops, ended = n(rb"[.?!]"), sum(bool(re.search(rb"[.!?\":]$", x.rstrip())) for x in lines)
+    log = [len(words), len(lines), None, max(map(len, words), default=0), max(map(len, lines), default=0), len(words) / k, len(words) / max(1, stops)]
+    share = [len(set(words)) / w, (len(lines) - len(set(lines))) / k, len(repeated) / w, symbols / c, n(rb"\|") / c, n(rb"!") / c, upper / max(1, upper + lower), digit / c, marks / c, stops / c, ended / k, max(0, c - upper - lower - digit - marks - symbols) / c, lower / c]
+    return [np.log(c / w) if x is None else np.log1p(x) for x in log] + [x**0.5 for x in share]
+
+
+def test_whole_query_equals_a_plain_discriminant(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = np.array([plain_features(t) for _, t in rows])
+    train = {c: x[[labels.get(i) == c and zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows]] for c in (0, 1)}
+    n = {c: len(v) for c, v in train.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in train.items()}
+    pooled = sum(n[c] * own[c] for c in own) / sum(n.values())
+    log = {}
+    for c in (0, 1):
+        cov = 0.95 * (0.7 * own[c] + 0.3 * pooled) + 0.05 * np.diag(np.diag(pooled) + 1e-6)
+        d = x - train[c].mean(0)
+        log[c] = -0.5 * (d * np.linalg.solve(cov, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(n[c])
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+    got = {r["doc_id"]: r["score"] for r in qda.op8_quality_qda(spark, SF).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want, atol=1e-5)
+
+
+def test_whole_verdict_equals_estimation_text_by_text(spark):
+    """Expectation-maximisation over all texts one by one, in plain loops over the rules, and not over counted patterns."""
+    got = weakrules.op9_weak_rules(spark, SF).collect()
+    votes = np.array([[int(v) for v in r["votes"]] for r in got])
+    table, share, post = np.tile(weakrules.START, (votes.shape[1], 1, 1)), 0.8, None
+    for _ in range(200):
+        odds = np.array([np.log(share / (1 - share)) + sum(np.log(table[k, 1, v] / table[k, 0, v]) for k, v in enumerate(row)) for row in votes])
+        old, post = post, 1 / (1 + np.exp(-odds))
+        if old is not None and np.abs(old - post).max() < 1e-9:
+            break
+        share = (post.sum() + 1) / (len(post) + 2)
+        for k in range(votes.shape[1]):
+            for c, weight in enumerate((1 - post, post)):
+                sums = np.array([weight[votes[:, k] == v].sum() + 1 for v in range(3)])
+                table[k, c] = sums / sums.sum()
+            if table[k, 1, weakrules.GOOD] < table[k, 0, weakrules.GOOD] and table[k, 1, weakrules.BAD] > table[k, 0, weakrules.BAD]:
+                table[k] = table[k].mean(0)
+    assert np.allclose([r["posterior"] for r in got], post, atol=1e-6)
+    assert all(r["kept"] == (not r["base_failed"] and p >= 0.02) for r, p in zip(got, post, strict=True) if abs(p - 0.02) > 1e-5)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got:  # the votes of two rules, from their own definitions
+        words = docs[r["doc_id"]].split() if docs[r["doc_id"]].isascii() else None
+        if words is not None:
+            assert r["votes"][0] == ("2" if len(words) >= 50 else "0" if len(words) <= 20 else "1")
+            assert r["votes"][1] == ("1" if not words else "2" if (d := abs(sum(map(len, words)) / len(words) - 5.5)) <= 3 else "0" if d >= 5 else "1")

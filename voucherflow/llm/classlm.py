@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard
-from .common import fold, pick, written
+from .common import fold, pick, table, written
 
 HAPAX, UNKNOWN = 0x80, 0x7F
 OPEN = 255  # the class of a word that has none yet, or that no training text holds
@@ -619,5 +619,20 @@ def class_lm_scores(docs: DataFrame, held_out: Column, *, classes: int = 64, hea
 
 
 def op1_class_lm(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return class_lm_scores(docs, fold(F.col("doc_id"), 7) == 2)
+
+
+#: The base columns by plain counting; a text's number is unique. DuckDB has no crc32: it is folded from the digits' bytes.
+BASE_ORACLE = r"""
+WITH k AS (SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))) AS crc FROM documents),
+d AS (SELECT doc_id, xor(crc, 4294967295) % 7 = 2 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents JOIN k USING (doc_id)),
+t AS (SELECT doc_id, held_out, unnest(words) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+e AS (SELECT count(*) FILTER (NOT held_out) AS ends FROM d),
+n AS (SELECT ends, (SELECT coalesce(sum(c), 0) FROM c) + ends AS n, (SELECT count(*) FROM c) + CAST(ends > 0 AS INTEGER) AS v FROM e),
+s AS (SELECT doc_id, count(c.c) AS known, sum(log10((coalesce(c.c, 0) + 1)::DOUBLE / (n.n + n.v + 1))) AS score FROM t LEFT JOIN c USING (word), n GROUP BY doc_id)
+SELECT d.doc_id, d.held_out, CAST(len(words) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(known, 0) + CAST(ends > 0 AS INTEGER) AS BIGINT) AS n_known, CAST(n.n AS BIGINT) AS train_tokens,
+  round(coalesce(score, 0) + log10((ends + 1)::DOUBLE / (n.n + n.v + 1)), 6) AS base_score FROM d LEFT JOIN s USING (doc_id), n
+"""

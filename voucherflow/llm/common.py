@@ -22,21 +22,24 @@ from ..sources.scratch import new_path, shared_dir, written  # noqa: F401  used
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+ARROW_BYTES = "4m"
 
 
-ARROW_BYTES = "4m"
+def bounded(spark: SparkSession) -> SparkSession:
+    """Holds the session's Arrow batches at ``ARROW_BYTES``: counted in rows, a batch of long texts would take hundreds of MB in a task's
+    Python worker, and as much again in its JVM. Queries and pipeline stages call it where they start; operators leave the session alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return spark
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Exactly the named columns, even beside columns that differ from them only in case.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one of the driver's tables."""
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
-    Sets the session's Arrow batches to ``ARROW_BYTES``: counted in rows, a batch of long texts would take
-    hundreds of MB in a task's Python worker, and as much again in its JVM.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Exactly the named columns, even beside columns that differ from them only in case."""
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 

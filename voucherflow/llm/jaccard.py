@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents, written
+from .common import DOCUMENT_COLUMNS, bounded, documents, table, written
 from .graph import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +236,7 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, bands
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "text_id", "n_links")
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id", "n_links")
 
 
 #: All pairs that share an n-gram, and all that can be reached over links; for small tables.
@@ -257,6 +257,7 @@ SELECT s.doc_id, grp.class_id, c.text_id, coalesce(n.n_links, 0) AS n_links FROM
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first document of every group of near duplicates, in (doc_id, text hash) order."""
+    bounded(spark)
     heads = jaccard_groups(docs).select("first_id", "first_key").distinct()
     all_ = documents(docs, *DOCUMENT_COLUMNS)
     kept = all_.join(heads, all_["doc_id"].eqNullSafe(heads["first_id"]) & (all_["key"] == heads["first_key"]), "left_semi")

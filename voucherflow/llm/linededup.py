@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents, written
+from .common import DOCUMENT_COLUMNS, bounded, documents, table, written
 
 
 def _signed(h: int) -> int:
@@ -177,11 +177,12 @@ SELECT w.doc_id, coalesce(string_agg(line, chr(10) ORDER BY w.number) FILTER (go
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its repeated runs; one that loses all its words goes."""
+    bounded(spark)
     out = dedup_lines(docs, "lang", "source")
     left = (F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars")).select(*DOCUMENT_COLUMNS)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, pick, written
+from .common import DOCUMENT_COLUMNS, bounded, pick, table, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -152,10 +152,11 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of which the mix takes words, with how many it takes, repeats counted."""
+    bounded(spark)
     out = mix(docs, *[c for c in DOCUMENT_COLUMNS if c != "doc_id"])
     return out.where("taken > 0").select(*DOCUMENT_COLUMNS, "size", "source_size", "target", "taken")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, fold, pick, written
+from .common import DOCUMENT_COLUMNS, fold, pick, table, written
 from .textstats import stats
 
 D = 20
@@ -59,7 +59,7 @@ def features(text: bytes) -> list[float]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [np.array(features(t)).tobytes() for t in batch["text"].cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([*(batch[c] for c in batch.schema.names), pa.array(x, pa.binary())], names=[*batch.schema.names, "x"])
+        yield pa.record_batch([batch["doc_id"], pa.array(x, pa.binary())], names=["doc_id", "x"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *columns: str, pool: floa
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     docs = pick(docs, "doc_id", *dict.fromkeys(["text", *columns])).withColumn("text", F.coalesce("text", F.lit("")))
 
-    points = written(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, text string, x binary").select("doc_id", "x"), "qda-features")
+    points = written(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, x binary"), "qda-features")
     model = fit(points, labels, ~held, pool, ridge)
     rows = (docs if columns else points).withColumn("held_out", held)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("x").dtypes)
@@ -141,12 +141,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *columns: str, pool: floa
 
 
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality_scores(docs, labels)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier accepts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = table(spark, sf_dir, "labels")
     scored = quality_scores(docs, labels, *[c for c in DOCUMENT_COLUMNS if c != "doc_id"])
     return scored.where("predicted = 1").select(*DOCUMENT_COLUMNS)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table
 
 
 def _either(text: str) -> str:
@@ -132,7 +132,7 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
 
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_secrets(table(spark, sf_dir, "documents"))
 
 
 def _oracle(scope: int = 200) -> str:

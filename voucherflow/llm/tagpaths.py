@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, table
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -361,4 +361,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_main_text(table(spark, sf_dir, "pages"))

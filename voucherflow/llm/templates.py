@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents, pick, written
+from .common import DOCUMENT_COLUMNS, documents, pick, table, written
 
 # Words for numbers and units of measurement.
 NUMBERS = frozenset(
@@ -307,12 +307,12 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *columns: str, **ho
 
 
 def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return benchmark_pairs(docs, benchmark).drop("row", "key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that contain no benchmark item."""
-    bad = benchmark_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "key").distinct()
+    bad = benchmark_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "key").distinct()
     all_ = documents(docs, *DOCUMENT_COLUMNS)
     return all_.join(bad, all_["doc_id"].eqNullSafe(bad["doc_id"]) & (all_["key"] == bad["key"]), "left_anti").select(*DOCUMENT_COLUMNS)

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, written
+from .common import new_path, pick, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"  # archives of equal rows are equal
@@ -195,7 +195,7 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame, *, range_by
 
 def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    manifest = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
