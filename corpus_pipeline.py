@@ -13,6 +13,7 @@ from voucherflow.llm.linededup import drop_repeated_lines
 from voucherflow.llm.mixing import mixed
 from voucherflow.llm.qda import keep_quality
 from voucherflow.llm.templates import drop_contaminated
+from voucherflow.sources.scratch import discard
 
 STAGES = [
     ("quality classifier", keep_quality),
@@ -28,6 +29,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
