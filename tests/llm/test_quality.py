@@ -169,3 +169,11 @@ def test_whole_verdict_equals_estimation_text_by_text(spark):
         if words is not None:
             assert r["votes"][0] == ("2" if len(words) >= 50 else "0" if len(words) <= 20 else "1")
             assert r["votes"][1] == ("1" if not words else "2" if (d := abs(sum(map(len, words)) / len(words) - 5.5)) <= 3 else "0" if d >= 5 else "1")
+
+
+def test_labels_with_clashing_columns(spark, odd):
+    rows = [(1, 1), (5, 0), (-8, 0), (7, 1), (6, 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, quality int")
+    clashing = spark.createDataFrame([(*r, "q", "d", b"x", 1.0) for r in rows], "doc_id long, quality int, `QUALITY` string, `Doc_Id` string, x binary, score double")
+    a, b = (sorted((r["doc_id"] or 0, r["score"]) for r in qda.quality_scores(odd, x).collect()) for x in (plain, clashing))
+    assert a == b

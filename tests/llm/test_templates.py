@@ -145,3 +145,10 @@ def test_items_of_numbers_and_copies_in_other_capitals_are_found(spark):
     texts = [f"so it is {sums} and on", f"list of {names} here", QUESTION.title(), QUESTION.upper(), QUESTION.lower(), "Evaluate 4 + 5 * 13 - 8 / 3 + 16 - 7 * 82"]
     got = found(spark, texts, [(1, sums), (2, names), (3, QUESTION)])
     assert [[m["item_id"] for m in got[i]] for i in range(6)] == [[1], [2], [3], [3], [3], []]
+
+
+def test_benchmark_with_clashing_columns_and_nulls(spark, odd):
+    item = "A plain text. It has some words, and a second line."
+    bench = spark.createDataFrame([(1, item, "x", 3, "h"), (None, None, None, None, None), (1, item, "y", 4, "i")], "item_id long, text string, `TEXT` string, hash long, `ITEM_ID` string")
+    got = benchmark_matches(odd, bench).collect()
+    assert [m["item_id"] for r in got for m in r["matches"]] == [1, 1]

@@ -77,3 +77,12 @@ def test_query_equals_sql(spark):
     con.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
     want = con.sql(warc.ORACLE).fetchall()
     assert sorted(map(tuple, warc.op2_warc_roundtrip(spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    rows = [(i, f"http://x/{i}", "y" * 200 if i < 3 else f"page {i}") for i in range(5)]
+    names = "digest string, payload binary, first long, refers_to long, n int, offset double, record_type string, `PAGE_ID` string"
+    clashing = spark.createDataFrame([(*r, "a", b"b", 3, 4, 5, 6.0, "r", "p") for r in rows], f"page_id long, url string, html string, {names}")
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = (sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in roundtrip(spark, x).collect()) for x in (plain, clashing))
+    assert a == b and [r[2:] for r in a[:3]] == [("response", None), ("revisit", 0), ("revisit", 0)]
