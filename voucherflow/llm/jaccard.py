@@ -258,7 +258,7 @@ SELECT s.doc_id, grp.class_id, c.text_id, coalesce(n.n_links, 0) AS n_links FROM
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first document of every group of near duplicates, in (doc_id, text hash) order."""
     bounded(spark)
-    heads = jaccard_groups(docs).select("first_id", "first_key").distinct()
+    heads = written(jaccard_groups(docs).select("first_id", "first_key").distinct(), "jaccard-heads")
     all_ = documents(docs, *DOCUMENT_COLUMNS)
     kept = all_.join(heads, all_["doc_id"].eqNullSafe(heads["first_id"]) & (all_["key"] == heads["first_key"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "key"]).select(*DOCUMENT_COLUMNS)

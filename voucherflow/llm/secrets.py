@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, table, written
 
 
 def _either(text: str) -> str:
@@ -121,8 +121,8 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
     beside = {k: F.coalesce(F.col(f"{k}_end") >= lowest, F.lit(False)) | F.coalesce(F.col(f"{k}_start") <= highest, F.lit(False)) for k in WEAK}
     kept = parts.where(reduce(lambda a, k: a | ((F.col("kind") == k) & beside[k]), WEAK, F.col("kind").isin(BASE)))
 
-    spans = kept.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
-    # documents without spans stay apart from the join's skew: a null or repeated doc_id spreads by its text
+    # written, so that the join has a shuffle on either side and rows that repeat can be split
+    spans = written(kept.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans")), "secret-spans")
     all_ = docs.select("doc_id", "key").alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.key") == F.col("s.key")), "left")
     out = all_.select("d.doc_id", F.coalesce("s.spans", F.array().cast(SPAN)).alias("found"))
     only = lambda kinds: F.filter("found", lambda s: s["kind"].isin(kinds))

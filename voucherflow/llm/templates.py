@@ -314,5 +314,6 @@ def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that contain no benchmark item."""
     bad = benchmark_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "key").distinct()
+    bad = written(bad, "templates-bad")  # so that the join has a shuffle on either side and rows that repeat can be split
     all_ = documents(docs, *DOCUMENT_COLUMNS)
     return all_.join(bad, all_["doc_id"].eqNullSafe(bad["doc_id"]) & (all_["key"] == bad["key"]), "left_anti").select(*DOCUMENT_COLUMNS)
