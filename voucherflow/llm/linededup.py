@@ -153,7 +153,8 @@ def dedup_lines(docs: DataFrame, *columns: str, noise: int = 25, guarantee: int
     firsts = written(found.groupBy("window").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("window", "o"), "dedup-firsts")
     cuts = written(found.join(firsts, "window").where(place > F.col("o")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "dedup-cuts")
 
-    both = docs.alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key")), "left").select("d.doc_id", *(f"d.{c}" for c in columns), "d.text", "c.cuts")
+    # written and merged at every size: the join has a shuffle on either side, so rows that repeat can be split
+    both = docs.alias("d").join(cuts.alias("c").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key")), "left").select("d.doc_id", *(f"d.{c}" for c in columns), "d.text", "c.cuts")
     kept = ", ".join(f"`{c}` {t}" for c, t in both.drop("text", "cuts").dtypes)
     return both.mapInArrow(_delete, f"{kept}, text string, n_lines long, removed_lines long, removed_words long")
 
