@@ -114,6 +114,7 @@ def test_hostile_pages_take_linear_time():
     pages = [
         "<a " * 300_000, "<div>a" * n, '<a href="x> ' * n, "<a b='" * n, "<article>" + "<span>" * n + "</div>" * n, "<!--" * n, "<" * n, "<p " + "a=b " * n + ">x</p>", "<p>&#" + "9" * 10_000 + ";x</p>",
         "<ul><li>a" * n, "<script>" * n, "<div><article>" + "<i>" * n + "</div>" * n, "<a href=x>y " * n, "</ " * n, "<p>a<b>" * n, "<form><div>abc" * n, "<td><tr><table>a" * n,
+        "<div>" + "<p>Some prose, with marks, of a fair length.</p>" * 9 + "<ul><li>a" * n + "</div>",
     ]
     for page in pages:
         began = time.process_time()

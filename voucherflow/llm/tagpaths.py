@@ -330,13 +330,19 @@ def _belonging(page: Page, found: list[tuple[int, str, float]], at: list[int], c
     if not chosen:
         return []
     holders = {page.parent[found[i][0]] for i in chosen if page.name[found[i][0]] not in GENERIC}
+    known: dict[int, bool] = {}  # so that no element is climbed over twice
 
     def held(e: int) -> bool:
-        while page.name[e] in NESTS or page.name[e] in ("p", *HEADINGS):
-            e = page.parent[e]
-            if e in holders:
-                return page.name[e] not in TOPS
-        return e in holders and page.name[e] not in TOPS
+        way = []
+        while (answer := known.get(e)) is None:
+            way.append(e)
+            nested = page.name[e] in NESTS or page.name[e] in ("p", *HEADINGS)
+            e = page.parent[e] if nested else e
+            if e in holders or not nested:
+                answer = e in holders and page.name[e] not in TOPS
+                break
+        known.update(dict.fromkeys(way, answer))
+        return answer
 
     first, last = chosen[0], chosen[-1]
     before = [i for i in at if i < first]
