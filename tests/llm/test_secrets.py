@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pandas
 import pytest
@@ -55,6 +56,16 @@ def test_weak_parts_need_what_completes_them(docs):
     assert got[2]["spans"] == "ident:0:9,assign:10:29"
 
 
+def test_hostile_texts_take_neither_square_time_nor_the_stack(docs):
+    texts = ["1." * 100_000, "a.b 1." + "22." * 100_000, "1.2.3.4 " + "9" * 100_000, "\n \n" * 100_000 + " user=a http://a", "token=abcdef " * 50_000, ("a1" * 15 + ". ") * 20_000, "key" + " " * 200_000, "10.0.0.1 " * 50_000 + "secret=abcdef"]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in find_secrets(docs(*texts)).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(texts, 1):
+        agree(got[i], t)
+    assert [got[i]["n_linked"] for i in range(1, 9)] == [0, 0, 1, 0, 0, 0, 0, 23]  # of addresses, those whose ends are at most 200 before
+
+
 def test_no_python_in_the_plan(spark):
     plan = op10_secret_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)

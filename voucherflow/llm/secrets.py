@@ -12,7 +12,7 @@ reported nor evidence for others, so a URL does not complete a token in its own
 the text: the parts are disjoint, so what completes a part within reach is there if and only if the nearest such part before or after it is. Its cost is a sort and no pairs are made.
 
 A pattern's matches come from regexp_extract_all and their places from the lengths of the pieces that split leaves between
-them; both walk through the text in the same way, leftmost and without overlap. Places are code points, ends exclusive.
+them, added up by a running window; both walk through the text in the same way, leftmost and without overlap. No step's cost grows faster than the text's length, but for sorts. Places are code points, ends exclusive.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is kept; rows that repeat doc_id and text get equal results; an empty
 table gives no rows.
@@ -36,13 +36,16 @@ def _either(text: str) -> str:
 
 GLUE = r"""["']?\x20*[:=]\x20*["']?"""
 URL = _either("https?") + r"""://[^\x20\x09-\x0D"'<>]+"""
+ADDRESS = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(\.[0-9]+)*(:[0-9]+)?"
+#: the same for Spark's engine, which would go back over digits step by step, and into recursion for each repeat of the group: it takes all or nothing and begins at a run's first digit only
+ADDRESS_AT_ONCE = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++(\.[0-9]++)*+(:[0-9]++)?+"
 #: kind, pattern, group whose length counts, least length, what the match must look like besides; the order is the order at equal starts
 KINDS = [
     ("assign", f"({_either('password|passwd|secret|token|api_?key')}){GLUE}([A-Za-z0-9+/_.=-]+)", 2, 6, []),
     ("access", "AKIA[A-Z0-9]+", 0, 20, []),
     ("hex", "[0-9a-f]{24,}", 0, 24, []),  # a match of [0-9a-f]+ is a whole run, so the short ones may fail in the pattern
     ("ident", f"{_either('(user(_?name|_?id)?|login|client_?id|account(_?id)?|access_?key(_?id)?)')}{GLUE}[A-Za-z0-9@+/_.=-]+", 0, 1, []),
-    ("endpoint", rf"{URL}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(\.[0-9]+)*(:[0-9]+)?", 0, 1, [r"^[Hh]|^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?$"]),
+    ("endpoint", f"{URL}|{ADDRESS}", 0, 1, [r"^[Hh]|^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?$"]),
     ("opaque", "[A-Za-z0-9+/_=-]{32,}", 0, 32, ["[0-9]", "[A-Za-z]"]),
     ("break", r"\n[\x20\x09\x0D]*\n", 0, 1, []),  # parts paragraphs; never reported
 ]
@@ -60,6 +63,7 @@ HINTS = {
     "endpoint": (["://"], r"[0-9]\.[0-9]+\.[0-9]"),
     "opaque": ([], "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32}"),
 }
+MATCH = "array<struct<rank:int,kind:string,i:int,gap:int,size:int,good:boolean>>"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -70,24 +74,20 @@ def _hinted(kind: str) -> Column:
     return reduce(lambda a, b: a | b, hints)
 
 
-def _spans(text: Column, rank: int, there: Column) -> Column:
-    """The kind's matches that are long enough; empty where ``there`` does not hold."""
+def _matches(text: Column, rank: int, there: Column) -> Column:
+    """The kind's matches in turn: what lies between one and the one before it, its length, and whether it counts; none where ``there`` does not hold."""
     kind, pattern, group, least, also = KINDS[rank]
+    pattern = pattern.replace(ADDRESS, ADDRESS_AT_ONCE)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + F.length(m["whole"])
-        new = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+    def match(m: Column, i: Column) -> Column:
         good = reduce(lambda a, p: a & m["whole"].rlike(p), also, F.length(m["part"]) >= least)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), F.length(m["whole"]).alias("size"), good.alias("good"))
 
-    none = F.array().cast(SPAN)
-    all_of = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(there, all_of).otherwise(none)
+    return F.when(there, F.transform(found, match)).otherwise(F.array().cast(MATCH))
 
 
 def _joined(spans: Column) -> Column:
@@ -101,8 +101,10 @@ def find_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
     hinted = docs.withColumn("low", F.lower("text")).select("doc_id", "key", "text", *(_hinted(k).alias(f"may_{k}") for k in HINTS))
     hinted = hinted.where(reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in HINTS)))
     weak_may = reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in WEAK))
-    found = hinted.select("doc_id", "key", F.concat(*(_spans(text, RANK[k], F.col(f"may_{k}")) for k in HINTS), _spans(text, RANK["break"], weak_may)).alias("found"))
-    parts = found.select("doc_id", "key", F.explode("found").alias("s")).distinct().select("doc_id", "key", "s.*")
+    found = hinted.select("doc_id", "key", F.concat(*(_matches(text, RANK[k], F.col(f"may_{k}")) for k in HINTS), _matches(text, RANK["break"], weak_may)).alias("found"))
+    parts = found.select("doc_id", "key", F.explode("found").alias("s")).distinct().select("doc_id", "key", "s.*").repartition("doc_id", "key")  # as all windows below need it
+    walked = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("doc_id", "key", "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    parts = parts.withColumn("end", walked).where("good").select("doc_id", "key", (F.col("end") - F.col("size")).alias("start"), "rank", "kind", "end")
 
     document, so_far = W.partitionBy("doc_id", "key"), (W.unboundedPreceding, -1)
     up, down = document.orderBy("start", "rank").rowsBetween(*so_far), document.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(*so_far)
