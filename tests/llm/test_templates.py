@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given
@@ -25,6 +26,14 @@ def test_copies_and_changed_slots(spark):
     assert got[0][0]["item_id"] == 1 and got[0][0]["changed_slots"] == 0 and got[1][0]["changed_slots"] >= 5
 
 
+def test_words_of_any_length_take_linear_time():
+    began = time.process_time()
+    for word in (b"x" + b"-" * 1_000_000 + b"x", b"-" * 1_000_000, b"1" * 1_000_000 + b"x", b"." * 500_000 + b"x" + b")" * 500_000):
+        text, *_ = Canon().read([b"two words " + word])
+        assert len(text) == (2 if word.strip(b"-") == b"" else 3)
+    assert time.process_time() - began < 5
+
+
 def test_part_of_an_item_counts_from_a_run_on(spark):
     words = [f"word{i}x" for i in range(60)]
     item = " ".join(words)

@@ -46,7 +46,7 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[-+$€£]*\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 QUANTITY = re.compile(r"\d[\d.,]*([a-z]+)")
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)  # from the first letter or digit to the last
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LINE, TEXT = b"\x00", b"\x01"  # stand for the end of a line and of a text
 SLOT, IS_NAME, ENDS, VOID = 1, 2, 4, 8
@@ -80,7 +80,7 @@ class Canon(dict):
         core = text.strip(".,;:!?")
         letters = core.isalpha()
         if not letters:
-            core = EDGE.sub("", text)
+            core = m[0] if (m := CORE.search(text)) else ""
         low = core.lower()
         if letters:
             kind = NUM if low in NUMBERS else UNIT if low in UNITS else None
