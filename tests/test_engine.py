@@ -66,6 +66,14 @@ def test_dictionary_codes(spark):
     assert clean.drop_originals("id", a2)[0].columns == ["id_code"]
 
 
+def test_codes_in_the_narrowest_type(spark):
+    kinds = {}
+    for n in (0, 128, 129, 32768, 32769):
+        a, b = spark.range(n).select(F.col("id").cast("string").alias("x")), spark.createDataFrame([(None,), ("0",)], "x string")
+        kinds[n] = [dict(df.dtypes)["x_code"] for df in clean.encode_ids("x", a, b, tight=True)[0]]
+    assert kinds == {0: ["tinyint"] * 2, 128: ["tinyint"] * 2, 129: ["smallint"] * 2, 32768: ["smallint"] * 2, 32769: ["int"] * 2}
+
+
 def test_keys_are_dense_and_unique(spark):
     df = clean.add_key(spark.createDataFrame([(3,), (None,), (1,)], "x int"), "k")
     assert {r["x"]: r["k"] for r in df.collect()} == {1: 0, 3: 1, None: 2}
@@ -147,6 +155,18 @@ def test_trained_trees_rank_the_signal(spark, tmp_path):
     assert again.select("y_pred").distinct().count() == trees.predict_gbt(df, names, model).select("y_pred").distinct().count()
 
 
+def test_a_dump_of_trained_trees_scores_as_they_do(spark):
+    rows = [(i, None if i % 11 == 0 else float(i % 13) / 3, None if i % 17 == 0 else i * 7 % 41 - 1, float(i % 5), int((i * 7 % 41) % 3 == 0 or i % 11 < 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, a double, bin int, b double, y int")
+    kinds = {"bin": 40}
+    names, model = trees.train_gbt(df.drop("i"), "y", rounds=4, step=0.3, categorical=kinds)
+    text = trees.dump(names, trees.trees_of(names, model, kinds))
+    assert "cat_threshold" in text and trees.dump(*trees.parse(text)) == text
+    want = {r["i"]: r["y_pred"] for r in trees.predict_gbt(df, names, model, kinds).collect()}
+    got = {r["i"]: r["p"] for r in df.select("i", trees.score_column(text).alias("p")).collect()}
+    assert len(set(want.values())) > 4 and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
 def test_segment_report_counts_edges_twice(make):
     rows = [(1, 1, 1000, 1000, "2023-01-01", "2023-01-01", "2023-01-11", 1, 1, 0), (1, 1, 20000, None, "2023-01-01", "2023-01-01", "2023-01-02", 1, 0, 0)]
     out = diagnostics.segment_report(make.labelled(*rows)).collect()

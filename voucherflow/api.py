@@ -67,7 +67,7 @@ def reduce_mem_usage(df: DataFrame, verbose: bool = True) -> DataFrame:
 
 
 def id_reassign_with_map(cols, *dfs: DataFrame, verbose: bool = True, suffix: str = "_code") -> tuple[tuple[DataFrame, ...], dict[str, DataFrame]]:
-    return clean.encode_ids(cols, *dfs, suffix=suffix)
+    return clean.encode_ids(cols, *dfs, suffix=suffix, tight=True)
 
 
 def drop_original_id(cols, *dfs: DataFrame, suffix: str = "_code") -> tuple[DataFrame, ...]:

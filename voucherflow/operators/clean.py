@@ -67,14 +67,19 @@ def dictionary(column: str, *frames: DataFrame) -> DataFrame:
     return dense_index(values, "code", F.col("value"))
 
 
-def encode_ids(columns: str | list[str], *frames: DataFrame, suffix: str = "_code") -> tuple[tuple[DataFrame, ...], dict[str, DataFrame]]:
-    """Every column as codes shared by the frames, missing as -1; and the dictionaries, as tables."""
+def encode_ids(columns: str | list[str], *frames: DataFrame, suffix: str = "_code", tight: bool = False) -> tuple[tuple[DataFrame, ...], dict[str, DataFrame]]:
+    """Every column as codes shared by the frames, missing as -1; and the dictionaries, as tables.
+
+    ``tight``: codes in the narrowest type that holds the whole dictionary's, so that the frames' types agree; otherwise bigint.
+    """
     columns = [columns] if isinstance(columns, str) else columns
     maps = {}
     for c in columns:
         maps[c] = dictionary(c, *[df for df in frames if c in df.columns])
+        last = (maps[c].agg(F.max("code")).first()[0] or 0) if tight else INTEGERS[-1][1]
+        kind = next((t for t, m in INTEGERS if last < m), "bigint")
         coded = maps[c].select(F.col("value").alias(c), F.col("code").alias(c + suffix))
-        frames = tuple(df.join(coded, c, "left").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(MISSING))) if c in df.columns else df for df in frames)
+        frames = tuple(df.join(coded, c, "left").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(MISSING)).cast(kind)) if c in df.columns else df for df in frames)
     return frames, maps
 
 

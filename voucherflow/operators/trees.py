@@ -1,4 +1,4 @@
-"""Boosted trees: training with Spark ML, and scoring of a text dump of trees as one column expression.
+"""Boosted trees: training with Spark ML, text dumps of trees, and scoring of a dump as one column expression.
 
 A dump has ``feature_names=...`` and blocks ``Tree=i`` with lines ``split_feature``, ``threshold``, ``decision_type``, ``left_child``, ``right_child``,
 ``leaf_value``, and for sets of categories ``cat_boundaries`` and ``cat_threshold``. Child -k is leaf k - 1. Bit 0 of the decision type says that the
@@ -29,6 +29,8 @@ class Tree:
     cat_threshold: list[int] = field(default_factory=list)
 
 
+LOWEST = -1.7976931348623157e308
+
 FIELDS = {"split_feature": ("feature", int), "threshold": ("threshold", float), "decision_type": ("decision", int), "left_child": ("left", int), "right_child": ("right", int), "leaf_value": ("leaf", float), "cat_boundaries": ("cat_boundaries", int), "cat_threshold": ("cat_threshold", int)}
 
 
@@ -49,6 +51,14 @@ def parse(text: str) -> tuple[list[str], list[Tree]]:
     return names, trees
 
 
+def dump(names: list[str], trees: list[Tree]) -> str:
+    """The text that ``parse`` reads back as the same trees."""
+    lines = ["feature_names=" + " ".join(names)]
+    for i, tree in enumerate(trees):
+        lines += ["", f"Tree={i}"] + [f"{key}=" + " ".join(map(repr, getattr(tree, name))) for key, (name, _) in FIELDS.items() if getattr(tree, name)]
+    return "\n".join([*lines, "", "end of trees", ""])
+
+
 def _goes_left(tree: Tree, i: int, x: Column) -> Column:
     kind, number = tree.decision[i], x.cast("double")
     unknown = number.isNull() | F.isnan(number)
@@ -89,21 +99,22 @@ def score_column(text: str, columns: dict[str, str] | None = None, first: int =
 
 
 def _assembled(df: DataFrame, features: list[str], categorical: dict[str, int]) -> DataFrame:
-    """A vector of the features; a categorical one of k values, from -1 or 0 on, is marked as such and split by sets of its values."""
+    """A vector of the features; a categorical one of k values, from -1 or 0 on, is marked as such and split by sets of its values. A missing number is the lowest there is, as vectors may hold no NaN."""
     numbers = {c: F.col(c).cast("double") for c in features}
+    numbers |= {c: F.coalesce(F.when(~F.isnan(x), x), F.lit(LOWEST)) for c, x in numbers.items() if c not in categorical}
     kind = lambda c: {"metadata": {"ml_attr": {"type": "nominal", "num_vals": categorical[c] + 1}}} if c in categorical else {}
     rows = df.select("*", *[(F.coalesce(x, F.lit(-1.0)) + 1 if c in categorical else x).alias(f"_{c}", **kind(c)) for c, x in numbers.items()])
-    return VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features", handleInvalid="keep").transform(rows).drop(*[f"_{c}" for c in features])
+    return VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features").transform(rows).drop(*[f"_{c}" for c in features])
 
 
 def train_gbt(df: DataFrame, label: str, weight: str | None = None, rounds: int = 10, step: float = 0.05, depth: int = 5, seed: int = 1, categorical: dict[str, int] | None = None) -> tuple[list[str], GBTClassificationModel]:
-    """Gradient-boosted trees on all other columns; nulls are passed on as NaN. ``categorical``: features that are classes, such as the bins, with their number of values.
+    """Gradient-boosted trees on all other columns; nulls and NaN lie below every number. ``categorical``: features that are classes, such as the bins, with their number of values.
 
     A tree of depth 5 has at most 32 leaves.
     """
     features = [c for c in df.columns if c not in (label, weight)]
     rows = _assembled(df, features, categorical or {})
-    model = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {}))
+    model = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, maxBins=max(32, *(k + 1 for k in (categorical or {}).values()), 0), **({"weightCol": weight} if weight else {}))
     return features, model.fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
@@ -114,6 +125,48 @@ def predict_gbt(df: DataFrame, features: list[str], model: GBTClassificationMode
     return model.transform(_assembled(df, features, categorical or {})).withColumn("y_pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def trees_of(features: list[str], model: GBTClassificationModel, categorical: dict[str, int] | None = None) -> list[Tree]:
+    """A trained model's trees, such that ``score_column`` of their dump is ``predict_gbt``; ``categorical`` as in training.
+
+    A missing number goes left at every threshold, a missing class is -1, which no set of classes holds: a split that sends it left is turned round.
+    """
+    out = []
+    for trained, weight in zip(model.trees, model.treeWeights, strict=True):
+        tree = Tree()
+
+        def add(node, tree: Tree = tree, weight: float = weight) -> int:
+            if node.getClass().getSimpleName() == "LeafNode":
+                tree.leaf.append(2 * weight * node.prediction())
+                return -len(tree.leaf)
+            at, split = len(tree.feature), node.split()
+            left, right = node.leftChild(), node.rightChild()
+            tree.feature.append(split.featureIndex())
+            if features[split.featureIndex()] in (categorical or {}):
+                classes = {int(c) for c in split.leftCategories()}
+                if 0 in classes:
+                    classes, left, right = {int(c) for c in split.rightCategories()}, right, left
+                tree.cat_boundaries = tree.cat_boundaries or [0]
+                tree.threshold.append(float(len(tree.cat_boundaries) - 1))
+                tree.decision.append(1)
+                words = [0] * ((max(classes) - 1) // 32 + 1)
+                for c in classes:  # class c stands for the value c - 1
+                    words[(c - 1) // 32] |= 1 << (c - 1) % 32
+                tree.cat_threshold += words
+                tree.cat_boundaries.append(len(tree.cat_threshold))
+            else:
+                tree.threshold.append(split.threshold())
+                tree.decision.append(8 | 2)
+            tree.left.append(0)
+            tree.right.append(0)
+            tree.left[at] = add(left)
+            tree.right[at] = add(right)
+            return at
+
+        add(trained._java_obj.rootNode())
+        out.append(tree)
+    return out
+
+
 def save_gbt(features: list[str], model: GBTClassificationModel, path: str) -> None:
     """The model, and beside it its features in order."""
     model.write().overwrite().save(f"{path}/model")

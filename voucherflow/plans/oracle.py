@@ -239,6 +239,7 @@ WHEN (Price_limit_bin, Coupon_limit_bin, Expiry_span_bin) = (0, 1, 0) THEN 'seg_
     "keys_and_originals": "SELECT column_name, true AS same_keys FROM (VALUES ('receipt_key'), ('User_id_code'), ('Coupon_id_code'), ('Coupon_amt_cent'), ('Receive_date'), ('Start_date'), ('Price_limit_cent'), ('Coupon_status'), ('End_date')) v(column_name)",
     "sorted_ranks": q(select="SELECT receipt_key, Receive_date, CAST(row_number() OVER (ORDER BY Receive_date NULLS FIRST, receipt_key) - 1 AS BIGINT) AS place FROM receipts"),
     "gbt_predictions": q(*CPN, select="SELECT receipt_key, CASE WHEN Price_limit_bin = 1 OR Coupon_limit_bin = 0 THEN 1 ELSE 0 END AS predicted FROM cpn"),
+    "gbt_dump_predictions": q(*CPN, select="SELECT receipt_key, CASE WHEN Price_limit_bin = 1 OR Coupon_limit_bin = 0 THEN 1 ELSE 0 END AS predicted FROM cpn"),
     "profit_at_thresholds": q(SCORED, select="\nUNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS n, CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit FROM s WHERE y_pred >= {t}" for t in (0.25, 0.5, 0.75))),
     "mean_profit": q(SCORED, select="SELECT CAST(sum(Actual_pay_cent) AS DOUBLE) / count(*) AS profit, count(*) AS n FROM s"),
     "net_profit_test_set": q(*LAB, select="SELECT lab.receipt_key, coalesce(x.Actual_pay_cent, 0) AS Actual_pay_cent FROM lab LEFT JOIN txns x ON x.txn_key = lab.first_valid_txn_key WHERE lab.Receive_date >= DATE '2024-01-22'"),

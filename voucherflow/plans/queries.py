@@ -362,14 +362,26 @@ def sorted_ranks(spark, d):
     return clean.dense_index(demo.receipts(spark, d).select("receipt_key", "Receive_date"), "place", F.asc_nulls_first("Receive_date"), "receipt_key")
 
 
-def gbt_predictions(spark, d):
-    """Trees trained on a label that the bins decide must give that label back."""
+def _gbt(spark, d):
+    """Receipts with their bins and a label that the bins decide, and trees trained on it."""
     df = _coupon(spark, d).select("receipt_key", "Price_limit_bin", "Coupon_limit_bin", "Expiry_span_bin", F.expr("cast(Price_limit_bin = 1 or Coupon_limit_bin = 0 as int)").alias("y"))
     bins = {"Price_limit_bin": 3, "Coupon_limit_bin": 3, "Expiry_span_bin": 2}
-    features, model = trees.train_gbt(df.drop("receipt_key"), "y", rounds=3, step=0.5, categorical=bins)
+    return df, *trees.train_gbt(df.drop("receipt_key"), "y", rounds=3, step=0.5, categorical=bins), bins
+
+
+def gbt_predictions(spark, d):
+    """Trained trees must give the label back."""
+    df, features, model, bins = _gbt(spark, d)
     return trees.predict_gbt(df, features, model, bins).select("receipt_key", (F.col("y_pred") >= 0.5).cast("int").alias("predicted"))
 
 
+def gbt_dump_predictions(spark, d):
+    """So must their text dump."""
+    df, features, model, bins = _gbt(spark, d)
+    score = trees.score_column(trees.dump(features, trees.trees_of(features, model, bins)))
+    return df.select("receipt_key", (score >= 0.5).cast("int").alias("predicted"))
+
+
 MODEL = """tree
 feature_names=Price_limit_cent Coupon_amt_cent Expiry_span_bin
 
@@ -409,5 +421,5 @@ QUERIES = {f.__name__: f for f in (
     segment_diagnostics, segment_redemption_rate, receipt_flag_shares, union_by_name_distinct, trainable_join, policy_split_folds, roi_split_folds, fold_datasets, dnf_filter, segment_catalog,
     class_weights, per_class_accuracy, roc_auc_exact, top5_profit, profit_at_thresholds, mean_profit, net_profit_test_set, tree_score,
     policy_three_folds, roi_three_folds, split_without_folds, dataset_columns, per_class_accuracy_rounded, roc_auc_mean_of_folds, csv_ingest, csv_typed, csv_first_rows, parquet_round_trip,
-    parameter_table, metrics_history, keys_and_originals, sorted_ranks, gbt_predictions,
+    parameter_table, metrics_history, keys_and_originals, sorted_ranks, gbt_predictions, gbt_dump_predictions,
 )}
